@@ -14,7 +14,7 @@ def _betacf(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 500):
+    for m in range(1, 100_000):
         m2 = 2 * m
         for num in (
             m * (b - m) * x / ((a + m2 - 1) * (a + m2)),
@@ -45,7 +45,9 @@ def beta_inc(a: float, b: float, x: float) -> float:
 
 
 def t_two_sided(t: float, df: float) -> float:
-    """P(|T| >= |t|) for Student's t."""
+    """P(|T| >= |t|) for Student's t; beyond ten million degrees of freedom it is the normal."""
+    if df > 1e7:
+        return math.erfc(abs(t) / math.sqrt(2.0))
     return beta_inc(df / 2.0, 0.5, df / (df + t * t))
 
 

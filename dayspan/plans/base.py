@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+# Averages of cent values often end exactly halfway between two 6-digit numbers, where the
+# last bit of a float decides the rounding. Both engines add this before they round.
+NUDGE = 1e-9
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,7 +25,13 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = re.sub(r"\bround\(", f"round({NUDGE} + ", sql)
         return fn
 
     return keep
+
+
+def r6(col) -> Column:
+    """Six-digit rounding of a query result, matched by ``round(x, 6)`` in the SQL."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.round(col + F.lit(NUDGE), 6)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dayspan import spec
 from dayspan.functions import columns as X
-from dayspan.operators import clean, timeline
+from dayspan.operators import clean, merge, timeline
 from dayspan.plans import inputs as inp
 from dayspan.plans.base import query
 
@@ -174,12 +174,13 @@ def missing_indicator(spark, sf):
 
 @query(
     "filter_day_window",
-    f"WITH {inp.SQL_WEEKS} SELECT num_id, dt, day, week FROM pw WHERE num_id % 2 = 0 AND day < 15 AND NOT (view IS NULL AND click IS NULL)",
+    f"WITH {inp.SQL_WEEKS} SELECT num_id, dt, day, week FROM pw WHERE day < 15 AND NOT (view IS NULL AND click IS NULL) "
+    "AND num_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
 )
 def filter_day_window(spark, sf):
-    p = inp.panel_weeks(spark, sf)
-    v1 = F.when(F.col("num_id") % 2 == 0, "V1").otherwise("V2") == "V1"
-    return p.filter(v1 & (F.col("day") < 15) & ~(F.col("view").isNull() & F.col("click").isNull())).select("num_id", "dt", "day", "week")
+    cohort = inp.table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING")
+    p = inp.panel_weeks(spark, sf).filter((F.col("day") < 15) & ~(F.col("view").isNull() & F.col("click").isNull()))
+    return merge.keep_ids(p, cohort.select(F.col("c_custkey").alias("num_id")), "num_id").select("num_id", "dt", "day", "week")
 
 
 @query(

@@ -136,7 +136,8 @@ def r6(*cols: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
 
 
-def rounded(df: DataFrame, cols, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, cols) -> DataFrame:
     from dayspan.operators.clean import replace_columns
+    from dayspan.plans.base import r6 as six
 
-    return replace_columns(df, {c: F.round(F.col(c), digits) for c in cols})
+    return replace_columns(df, {c: six(c) for c in cols})
