@@ -105,7 +105,17 @@ def dbscan(spark, sf):
     return cl.dbscan_sweep(series(spark, sf), "num_id", W, (2.0, 4.0, 8.0), 10)
 
 
-@query("dbscan_labels")
+_DBS = (
+    f"WITH RECURSIVE {_SERIES}, t AS ({_dtw_sql()}), near AS (SELECT id_a AS p, id_b AS q FROM t WHERE c33 <= {EPS} UNION ALL SELECT id_b, id_a FROM t WHERE c33 <= {EPS}), "
+    "core AS (SELECT v.id FROM v LEFT JOIN (SELECT p, sum(w.copies) AS m FROM near JOIN v w ON w.id = q GROUP BY 1) n ON n.p = v.id WHERE v.copies + coalesce(m, 0) >= 10), "
+    "link AS (SELECT p, q FROM near WHERE p IN (FROM core) AND q IN (FROM core)), "
+    "walk AS (SELECT id, id AS root FROM core UNION SELECT link.q, walk.root FROM walk JOIN link ON link.p = walk.id), "
+    "comp AS (SELECT id, min(root) AS c FROM walk GROUP BY 1), "
+    "lab AS (SELECT v.id, coalesce(comp.c, (SELECT min(k.c) FROM near JOIN comp k ON k.id = near.q WHERE near.p = v.id)) AS c FROM v LEFT JOIN comp ON comp.id = v.id) "
+)
+
+
+@query("dbscan_labels", _DBS + f"SELECT s.num_id, coalesce(lab.c, -1) AS cluster FROM s JOIN v USING ({', '.join(W)}) JOIN lab ON lab.id = v.id")
 def dbscan_labels(spark, sf):
     return cl.dbscan(series(spark, sf), "num_id", W, 4.0, 10)
 
