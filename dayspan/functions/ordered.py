@@ -72,6 +72,18 @@ def running_totals(
     )
 
 
+def slot_of(col: Column, bounds: Sequence[float]) -> Column:
+    """Like ``slice_of``, but every cut value has an odd slot of its own.
+
+    A value that fills more than one slice is always a cut, so it ends up alone.
+    """
+    expr = F.lit(0)
+    for b in bounds:
+        x = col.cast("double")
+        expr = expr + (x > F.lit(float(b))).cast("int") + (x >= F.lit(float(b))).cast("int")
+    return expr
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[str],
@@ -80,29 +92,34 @@ def number_rows(
 ) -> DataFrame:
     """Row number from 1 over the whole table by ``order``; adds ``{name}_of`` (row count).
 
-    The first order column decides the slice. ``uniform`` states the range of an
-    evenly spread column, such as a hash, and saves the pass that finds the cuts.
+    The first order column decides the slice; the rows of a value that is too
+    frequent for one slice are cut again by the second. ``uniform`` states the
+    range of an evenly spread column, such as a hash, and saves the passes that
+    find the cuts.
     """
     slices = min(shuffle_width(df), 256)
-    if uniform is None:
-        cut = slice_of(F.col(order[0]), range_bounds(df, order[0], slices))
-    else:
+    keys = ["_slice", "_part"]
+    part = F.lit(0)
+    if uniform is not None:
         low, high = uniform
         cut = F.floor((F.col(order[0]) - low) * slices / (high - low)).cast("int")
-    sliced = df.withColumn("_slice", F.coalesce(cut, F.lit(-1)))
-    per_slice = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    slices_in_order = Window.partitionBy(F.lit(1)).orderBy("_slice")
+    else:
+        cut = slot_of(F.col(order[0]), range_bounds(df, order[0], slices))
+        if len(order) > 1:
+            finer = slice_of(F.col(order[1]), range_bounds(df, order[1], slices))
+            part = F.when(cut % 2 == 1, finer).otherwise(F.lit(0))
+    sliced = df.withColumns({"_slice": F.coalesce(cut, F.lit(-1)), "_part": F.coalesce(part, F.lit(-1))})
+    per_slice = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    in_order = Window.partitionBy(F.lit(1)).orderBy(*keys)  # slices, not rows
     offsets = per_slice.select(
-        "_slice",
-        F.coalesce(
-            F.sum("_n").over(slices_in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
+        *keys,
+        F.coalesce(F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias(f"{name}_of"),
     )
-    inside = Window.partitionBy("_slice").orderBy(*order)
+    inside = Window.partitionBy(*keys).orderBy(*order)
     return (
         sliced.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, "_slice")
+        .join(offsets, keys)
         .select(*df.columns, (F.col("_before") + F.col("_rn")).alias(name), f"{name}_of")
     )
 

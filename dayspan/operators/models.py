@@ -134,12 +134,12 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def positive_probability(model, rows: DataFrame) -> DataFrame:
-    """Predictions with ``probability`` as the chance of class 1 (a margin for models without one)."""
+    """Predictions with ``probability`` as the chance of class 1 (a squashed margin for models without one)."""
     out = model.transform(rows)
     if "probability" in out.columns:
         p = vector_to_array("probability")
         return out.withColumn("probability", F.coalesce(F.try_element_at(p, F.lit(2)), F.lit(0.0)))
-    return out.withColumn("probability", vector_to_array("rawPrediction")[1])
+    return out.withColumn("probability", 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])))
 
 
 def cross_validate(estimator: Estimator, rows: DataFrame, metrics: Callable[[DataFrame], DataFrame], folds: int, fold: str = "fold", classify: bool = False) -> DataFrame:

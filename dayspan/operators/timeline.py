@@ -19,17 +19,43 @@ UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 FROM_HERE = (Window.currentRow, Window.unboundedFollowing)
 
 
-def fill_within(df: DataFrame, group: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Forward fill, then backward fill, inside each group."""
-    w = Window.partitionBy(*group).orderBy(*order)
+def fill_within(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], cols: Sequence[str], slice_by: Column | None = None
+) -> DataFrame:
+    """Forward fill, then backward fill, inside each group.
+
+    ``slice_by`` must not decrease along ``order`` (e.g. the minute of a timestamp).
+    With it a very large group is filled slice by slice; values cross slices
+    through a table of each slice's first and last known value.
+    """
+    by = list(group)
+    if slice_by is not None:
+        by, df = [*group, "_slice"], df.withColumn("_slice", slice_by)
+    w = Window.partitionBy(*by).orderBy(*order)
     back, ahead = w.rowsBetween(*UP_TO_HERE), w.rowsBetween(*FROM_HERE)
-    return replace_columns(
-        df,
-        {
-            c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead))
-            for c in cols
-        },
+    earlier = {c: F.last(c, ignorenulls=True).over(back) for c in cols}
+    later = {c: F.first(c, ignorenulls=True).over(ahead) for c in cols}
+    if slice_by is None:
+        return replace_columns(df, {c: F.coalesce(earlier[c], later[c]) for c in cols})
+    at = F.struct(*order)
+    ends = df.groupBy(*by).agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_first_{c}") for c in cols],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_last_{c}") for c in cols],
+    )
+    slices = Window.partitionBy(*group).orderBy("_slice")
+    before = slices.rowsBetween(Window.unboundedPreceding, -1)
+    after = slices.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select(
+        *by,
+        *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_prev_{c}") for c in cols],
+        *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in cols],
+    )
+    local = df.select("*", *[earlier[c].alias(f"_e_{c}") for c in cols], *[later[c].alias(f"_l_{c}") for c in cols])
+    joined = local.join(carried, by)
+    out = replace_columns(
+        joined, {c: F.coalesce(f"_e_{c}", f"_prev_{c}", f"_l_{c}", f"_next_{c}") for c in cols}
     )
+    return out.select(*[c for c in df.columns if c != "_slice"])
 
 
 def combine_same_day(

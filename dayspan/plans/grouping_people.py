@@ -100,24 +100,42 @@ def davies_bouldin(spark, sf):
     return inp.rounded(q.select("davies_bouldin"), ["davies_bouldin"])
 
 
-@query("dbscan")
-def dbscan(spark, sf):
-    return cl.dbscan_sweep(series(spark, sf), "num_id", W, (2.0, 4.0, 8.0), 10)
+EPS_SWEEP = (2.0, 4.0, 8.0)
+_HEAD = f"WITH RECURSIVE {_SERIES}, t AS ({_dtw_sql()})"
+
+
+def _density(eps: float) -> str:
+    """Labels of all persons at one radius: neighbours, core points, reachable core points, borders."""
+    return (
+        f"near AS (SELECT id_a AS p, id_b AS q FROM t WHERE c33 <= {eps} UNION ALL SELECT id_b, id_a FROM t WHERE c33 <= {eps}), "
+        "core AS (SELECT v.id FROM v LEFT JOIN (SELECT p, sum(w.copies) AS m FROM near JOIN v w ON w.id = q GROUP BY 1) n ON n.p = v.id WHERE v.copies + coalesce(m, 0) >= 10), "
+        "link AS (SELECT p, q FROM near WHERE p IN (FROM core) AND q IN (FROM core)), "
+        "walk AS (SELECT id, id AS root FROM core UNION SELECT link.q, walk.root FROM walk JOIN link ON link.p = walk.id), "
+        "comp AS (SELECT id, min(root) AS c FROM walk GROUP BY 1), "
+        "lab AS (SELECT v.id, coalesce(comp.c, (SELECT min(k.c) FROM near JOIN comp k ON k.id = near.q WHERE near.p = v.id), -1) AS c FROM v LEFT JOIN comp ON comp.id = v.id), "
+        f"person AS (SELECT s.*, lab.c AS cluster FROM s JOIN v USING ({', '.join(W)}) JOIN lab ON lab.id = v.id)"
+    )
 
 
-_DBS = (
-    f"WITH RECURSIVE {_SERIES}, t AS ({_dtw_sql()}), near AS (SELECT id_a AS p, id_b AS q FROM t WHERE c33 <= {EPS} UNION ALL SELECT id_b, id_a FROM t WHERE c33 <= {EPS}), "
-    "core AS (SELECT v.id FROM v LEFT JOIN (SELECT p, sum(w.copies) AS m FROM near JOIN v w ON w.id = q GROUP BY 1) n ON n.p = v.id WHERE v.copies + coalesce(m, 0) >= 10), "
-    "link AS (SELECT p, q FROM near WHERE p IN (FROM core) AND q IN (FROM core)), "
-    "walk AS (SELECT id, id AS root FROM core UNION SELECT link.q, walk.root FROM walk JOIN link ON link.p = walk.id), "
-    "comp AS (SELECT id, min(root) AS c FROM walk GROUP BY 1), "
-    "lab AS (SELECT v.id, coalesce(comp.c, (SELECT min(k.c) FROM near JOIN comp k ON k.id = near.q WHERE near.p = v.id)) AS c FROM v LEFT JOIN comp ON comp.id = v.id) "
-)
+def _density_row(eps: float) -> str:
+    pairs = f"s1 AS (SELECT a.num_id, a.cluster AS own, b.cluster AS other, sum({_SQ}) AS t, count(*) AS n FROM person a JOIN person b ON a.cluster >= 0 AND b.cluster >= 0 GROUP BY 1, 2, 3)"
+    score = "s2 AS (SELECT num_id, max(CASE WHEN own = other THEN t / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b FROM s1 GROUP BY 1)"
+    return (
+        f"SELECT * FROM ({_HEAD}, {_density(eps)}, {pairs}, {score} SELECT CAST({eps} AS DOUBLE) AS eps, "
+        "(SELECT count(DISTINCT cluster) FROM person WHERE cluster >= 0) AS clusters, (SELECT round(avg(CAST(cluster < 0 AS INTEGER)), 6) FROM person) AS noise_ratio, "
+        "CASE WHEN (SELECT count(DISTINCT cluster) FROM person WHERE cluster >= 0) > 1 THEN (SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) FROM s2) ELSE 0.0 END AS silhouette)"
+    )
+
+
+@query("dbscan", " UNION ALL ".join(_density_row(e) for e in EPS_SWEEP))
+def dbscan(spark, sf):
+    sweep = cl.dbscan_sweep(series(spark, sf), "num_id", W, EPS_SWEEP, 10)
+    return inp.rounded(sweep, ["noise_ratio", "silhouette"])
 
 
-@query("dbscan_labels", _DBS + f"SELECT s.num_id, coalesce(lab.c, -1) AS cluster FROM s JOIN v USING ({', '.join(W)}) JOIN lab ON lab.id = v.id")
+@query("dbscan_labels", f"{_HEAD}, {_density(EPS)} SELECT num_id, cluster FROM person")
 def dbscan_labels(spark, sf):
-    return cl.dbscan(series(spark, sf), "num_id", W, 4.0, 10)
+    return cl.dbscan(series(spark, sf), "num_id", W, EPS, 10)
 
 
 def variable_distances(spark, sf):

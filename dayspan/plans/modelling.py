@@ -9,6 +9,7 @@ from dayspan.operators import attribution, evaluation as ev, models as mo, neigh
 from dayspan.plans import inputs as inp
 from dayspan.plans.base import query
 from dayspan.plans.preparing import _RES, known_panel
+from dayspan.plans.time import _interp
 
 LX = ["l_quantity", "l_discount", "l_tax"]
 
@@ -164,11 +165,42 @@ def _units(spark, sf):
     return splits.window_split(panel_rows(spark, sf), (0, 17), (20, 29))
 
 
-@query("per_person_logistic")
+_KP = (
+    f"{inp.SQL_FULL}, fi AS (SELECT num_id, dt, {', '.join(_interp(c, 10.0) for c in inp.FEATURES)} FROM pf), "
+    "rows_ AS (SELECT num_id, date_diff('day', DATE '2024-01-01', dt) AS day, CASE WHEN purchase_int > 50 THEN 1.0 ELSE 0.0 END AS y, "
+    + ", ".join(f"coalesce({c}_int, 0) AS x{i}" for i, c in enumerate(inp.SENSORS))
+    + ", 1.0 AS x4 FROM fi WHERE purchase_int IS NOT NULL)"
+)
+_LOGIT = "1 / (1 + exp(-(" + " + ".join(f"x{i} * w{i}" for i in range(5)) + ")))"
+
+
+def _adam(steps: int = 10, rate: float = 0.001) -> str:
+    out = ["s0 AS (SELECT DISTINCT num_id, " + ", ".join(f"0.0::DOUBLE AS w{i}, 0.0::DOUBLE AS m{i}, 0.0::DOUBLE AS v{i}" for i in range(5)) + " FROM rows_ WHERE day BETWEEN 0 AND 17)"]
+    for t in range(1, steps + 1):
+        out.append(
+            f"g{t} AS (SELECT num_id, " + ", ".join(f"avg(({_LOGIT} - y) * x{i}) AS g{i}" for i in range(5))
+            + f" FROM rows_ JOIN s{t - 1} USING (num_id) WHERE day BETWEEN 0 AND 17 GROUP BY 1)"
+        )
+        out.append(
+            f"h{t} AS (SELECT num_id, " + ", ".join(f"w{i}, 0.9::DOUBLE * m{i} + 0.1::DOUBLE * g{i} AS m{i}, 0.999::DOUBLE * v{i} + 0.001::DOUBLE * g{i} * g{i} AS v{i}" for i in range(5))
+            + f" FROM s{t - 1} JOIN g{t} USING (num_id))"
+        )
+        a, b = 1 - 0.9**t, 1 - 0.999**t
+        out.append(
+            f"s{t} AS (SELECT num_id, " + ", ".join(f"w{i} - {rate}::DOUBLE * (m{i} / {a}::DOUBLE) / (sqrt(v{i} / {b}::DOUBLE) + 1e-8::DOUBLE) AS w{i}, m{i}, v{i}" for i in range(5)) + f" FROM h{t})"
+        )
+    return ", ".join(out)
+
+
+@query(
+    "per_person_logistic",
+    f"WITH {_KP}, {_adam()}, e AS (SELECT num_id, y, {_LOGIT} AS p FROM rows_ JOIN s10 USING (num_id) WHERE day BETWEEN 20 AND 29) "
+    "SELECT num_id, count(*) AS n, round(avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS loss FROM e GROUP BY 1",
+)
 def per_person_logistic(spark, sf):
     rows = mo.cut_lineage(_units(spark, sf))
     w = mo.per_person_logistic(rows.filter("split = 'train'"), inp.SENSORS, "high")
-    return mo.logistic_accuracy(rows.filter("split = 'val'"), w, inp.SENSORS, "high")
+    return inp.rounded(mo.logistic_accuracy(rows.filter("split = 'val'"), w, inp.SENSORS, "high"), ["accuracy", "loss"])
 
 
 @query(

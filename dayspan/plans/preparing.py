@@ -64,6 +64,28 @@ def boxcox(spark, sf):
     return transform.boxcox(e, ["value"])[0]
 
 
+_GRID0 = "SELECT 0.0 AS centre, 5.0 AS width"
+
+
+def _refine(level: int) -> str:
+    """One grid of 41 exponents around the best one so far."""
+    return (
+        f"g{level} AS (SELECT (centre - width) + width / 20 * i AS lam, width FROM b{level - 1}, range(0, 41) r(i)), "
+        f"b{level} AS (SELECT arg_min(lam, v) AS centre, max(width) / 20 AS width FROM (SELECT lam, max(width) AS width, "
+        f"var_pop(CASE WHEN abs(lam) < 1e-12 THEN z ELSE (exp(lam * z) - 1) / lam END) AS v FROM g{level}, z GROUP BY lam))"
+    )
+
+
+@query(
+    "boxcox_lambda",
+    f"WITH z AS (SELECT ln(value) - (SELECT avg(ln(value)) FROM events) AS z FROM events), b0 AS ({_GRID0}), {', '.join(_refine(i) for i in range(1, 6))} "
+    "SELECT 'value' AS \"column\", round(centre, 3) AS lam FROM b5",
+)
+def boxcox_lambda(spark, sf):
+    lams = transform.boxcox_lambdas(inp.table(spark, sf, "events").select("value"), ["value"])
+    return spark.createDataFrame([(c, round(v, 3)) for c, v in lams.items()], "column string, lam double")
+
+
 def _residual_sql(y: str) -> str:
     return (
         f"{y} - avg_{y} - b1_{y} * (l_discount - avg_d) - b2_{y} * (l_tax - avg_t)"

@@ -161,10 +161,22 @@ def pca_by_cluster(spark, sf):
     return inp.rounded(scores, ["c0_PC1", "c1_PC1"])
 
 
-@query("pca_model")
+def _model_sql(i: int, a: str, b: str) -> str:
+    rows = [
+        f"SELECT {i} AS cluster, 'PC1' AS component, '{v}' AS variable, round({x} / nrm, 6) AS loading, round({m}, 6) AS mean, round(lam / (aa + bb), 6) AS explained FROM v{i}"
+        for v, x, m in ((a, "x", "ma"), (b, "y", "mb"))
+    ]
+    return " UNION ALL ".join(rows)
+
+
+@query(
+    "pca_model",
+    f"WITH {_WEEKLY}, cc AS (SELECT num_id, week, view, click, signup, error FROM wk WHERE view IS NOT NULL AND click IS NOT NULL AND signup IS NOT NULL AND error IS NOT NULL), "
+    f"{_pc_sql('view', 'click', '0')}, {_pc_sql('signup', 'error', '1')} {_model_sql(0, 'view', 'click')} UNION ALL {_model_sql(1, 'signup', 'error')}",
+)
 def pca_model(spark, sf):
-    p = weekly(spark, sf).select("num_id", "week", *inp.FEATURES)
-    return reduction.pca_by_cluster(p, {**_CL, "purchase": 1}, ["num_id", "week"])[1]
+    p = weekly(spark, sf).select("num_id", "week", *inp.SENSORS)
+    return inp.rounded(reduction.pca_by_cluster(p, _CL, ["num_id", "week"])[1], ["loading", "mean", "explained"])
 
 
 @query("pca2_projection")

@@ -30,7 +30,9 @@ def day_number(spark, sf):
 @query("fill_within_day", f"WITH {inp.SQL_FILL} SELECT num_id, dt, event_id, {', '.join(inp.FEATURES)} FROM filled")
 def fill_within_day(spark, sf):
     e = inp.ev_raw(spark, sf).drop("event_type")
-    return tl.fill_within(e, ["num_id", "dt"], ["ts", "event_id"], inp.FEATURES).drop("ts")
+    return tl.fill_within(
+        e, ["num_id", "dt"], ["ts", "event_id"], inp.FEATURES, slice_by=F.date_trunc("minute", "ts")
+    ).drop("ts")
 
 
 def _interp(c: str, percent: float) -> str:
