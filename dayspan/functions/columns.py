@@ -77,10 +77,28 @@ def finite_or_unit(col: Column) -> Column:
     )
 
 
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson r over rows where both are known; missing where one does not vary.
+
+    The built-in ``corr`` raises a division error for a constant column in ANSI mode.
+    """
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, F.col(a))) * F.var_pop(F.when(both, F.col(b))))
+    r = F.try_divide(F.covar_pop(a, b), spread)
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+
+
+# Multipliers and shifts of the hash, repeated in the SQL counterparts.
+HASH_FIRST, HASH_SECOND, HASH_SEED = 2654435761, 2146121005, 40503
+HASH_SPAN, HASH_FOLD = 4294967296, 2147483648
+
+
 def stable_hash(key: Column, seed: int = 42) -> Column:
-    """Multiplicative hash of a non-negative integer key in [0, 2**32), the same in every engine.
+    """Hash of a non-negative integer key in [0, 2**32), the same in every engine.
 
-    The key is reduced first so that the product stays inside 64 bits.
+    Plain integer arithmetic: multiply, mix the high bits down, multiply again.
+    The key is folded first so that every product stays inside 64 bits.
     """
-    folded = key.cast("long") % F.lit(2147483648)
-    return (folded * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(4294967296)
+    h = (key.cast("long") % HASH_FOLD * HASH_FIRST + seed * HASH_SEED) % HASH_SPAN
+    h = h.bitwiseXOR(F.shiftright(h, 15)) * HASH_SECOND % HASH_SPAN
+    return h.bitwiseXOR(F.shiftright(h, 13))

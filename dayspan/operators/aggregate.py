@@ -84,14 +84,15 @@ def people_columns(
         subsets = [s for k in range(len(cols), least - 1, -1) for s in combinations(cols, k)]
         return _score_subsets(profiles, subsets, threshold)
     profiles = profiles.persist()
+    known = profiles.agg(*[F.sum(F.col(c) * F.col("_people")).alias(c) for c in cols]).first()
     current, steps = tuple(cols), []
     while len(current) >= least:
         steps.append(current)
         options = [tuple(c for c in current if c != gone) for gone in current]
         scored = {tuple(r["columns"].split(",")): r["num_people"] for r in _score_subsets(profiles, options, threshold).collect()}
-        current = max(options, key=lambda s: scored[s])
-    out = _score_subsets(profiles, steps, threshold)
-    return out
+        # Among equals, drop the column with the fewest known cells.
+        current = max(options, key=lambda s: (scored[s], sum(known[c] or 0 for c in s)))
+    return _score_subsets(profiles, steps, threshold)
 
 
 def _score_subsets(profiles: DataFrame, subsets: Sequence[tuple[str, ...]], threshold: float) -> DataFrame:

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayspan.functions.columns import safe_corr
+
 PAIRS_PER_AGG = 300
 
 
@@ -27,8 +29,7 @@ def _long(df: DataFrame, by: Sequence[str], pairs: Sequence[tuple[str, str]]) ->
                 # r of a column with itself is 1 where it varies.
                 e = F.when((F.count(a) >= 2) & (F.min(a) < F.max(a)), F.lit(1.0))
             else:
-                both = F.col(a).isNotNull() & F.col(b).isNotNull()
-                e = F.when(F.count_if(both) >= 2, F.nanvl(F.corr(a, b), F.lit(None).cast("double")))
+                e = safe_corr(a, b)
             exprs.append(e.alias(f"_{k}"))
         wide = df.groupBy(*by).agg(*exprs) if by else df.agg(*exprs)
         cells = F.array(

@@ -31,11 +31,10 @@ def distinct_vectors(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
 
 
 def copy_members(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """(key, id): which representative stands for each person."""
+    """(key, rep): which representative stands for each person."""
     rows = df.na.drop("any", subset=list(cols))
-    reps = rows.groupBy(*cols).agg(F.min(key).alias("id"))
-    same = [rows[c] == reps[c] for c in cols]
-    return rows.join(reps, same).select(rows[key], reps["id"])
+    reps = rows.groupBy(*cols).agg(F.min(key).alias("rep"))
+    return rows.join(reps, list(cols)).select(key, "rep")
 
 
 def euclid(a: Column, b: Column) -> Column:
@@ -182,4 +181,4 @@ def mds_embed(df: DataFrame, key: str, cols: Sequence[str], dims: int = 2, metri
 
         schema = "id long, " + ", ".join(f"{n} double" for n in names)
         placed = vectors.select("id", "vec").mapInPandas(place, schema)
-    return copy_members(df, key, cols).join(placed, "id").select(key, *names)
+    return copy_members(df, key, cols).join(placed.withColumnRenamed("id", "rep"), "rep").select(key, *names)

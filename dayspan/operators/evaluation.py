@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayspan.functions.columns import safe_corr
 from dayspan.functions.ordered import average_ranks
 
 
@@ -20,7 +21,7 @@ def regression_metrics(df: DataFrame, by: Sequence[str] = (), y: str = "y", gues
         F.avg(F.abs(e)).alias("mae"),
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
-        F.nanvl(F.corr(y, guess), F.lit(None).cast("double")).alias("pearson"),
+        safe_corr(y, guess).alias("pearson"),
     )
 
 

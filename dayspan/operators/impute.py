@@ -97,7 +97,7 @@ def imputation_error(cells: DataFrame, by: Sequence[str] = (), fall_back: bool =
         F.when(ok, F.col("p_value")).alias("p_value"),
     )
     if fall_back:
-        out = out.withColumn("used_mean", (F.col("r2") < 0).cast("int")).withColumn("r2", F.greatest("r2", F.lit(0.0)))
+        out = out.withColumn("used_mean", (F.col("r2") < 0).cast("int")).withColumn("r2", F.when(F.col("r2") < 0, 0.0).otherwise(F.col("r2")))
     return out
 
 

@@ -16,8 +16,8 @@ from dayspan.functions.tails import chi2_tail, t_two_sided
 def ks_p(d: Column, n: Column, m: Column) -> Column:
     """Asymptotic two-sided p-value as a column; the short series serves small arguments."""
     x = d * F.sqrt(n * m / (n + m))
-    y = F.exp(F.lit(-(math.pi**2) / 8) / (x * x))
-    near = 1 - F.lit(math.sqrt(2 * math.pi)) / x * (y + F.pow(y, 9) + F.pow(y, 25) + F.pow(y, 49))
+    y = F.exp(F.try_divide(F.lit(-(math.pi**2) / 8), x * x))
+    near = 1 - F.try_divide(F.lit(math.sqrt(2 * math.pi)), x) * (y + F.pow(y, 9) + F.pow(y, 25) + F.pow(y, 49))
     far = F.aggregate(
         F.sequence(F.lit(1), F.lit(60)),
         F.lit(0.0),

@@ -35,3 +35,10 @@ def r6(col) -> Column:
     """Six-digit rounding of a query result, matched by ``round(x, 6)`` in the SQL."""
     col = F.col(col) if isinstance(col, str) else col
     return F.round(col + F.lit(NUDGE), 6)
+
+
+def hash_sql(expr: str, seed: int = 42) -> str:
+    """``stable_hash`` as SQL."""
+    h = f"((({expr}) % 2147483648 * 2654435761 + {seed * 40503}) % 4294967296)"
+    h = f"(xor({h}, {h} >> 15) * 2146121005 % 4294967296)"
+    return f"xor({h}, {h} >> 13)"

@@ -60,7 +60,7 @@ def pair_dtw(spark, sf):
 
 @query("copy_members", f"WITH {_SERIES} SELECT s.num_id, v.id FROM s JOIN v USING ({', '.join(W)})")
 def copy_members(spark, sf):
-    return di.copy_members(series(spark, sf), "num_id", W)
+    return di.copy_members(series(spark, sf), "num_id", W).withColumnRenamed("rep", "id")
 
 
 @query("mds_embed")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dayspan.operators import attribution, evaluation as ev, models as mo, neighbours, splits
 from dayspan.plans import inputs as inp
-from dayspan.plans.base import query
+from dayspan.plans.base import hash_sql, query
 from dayspan.plans.preparing import _RES, known_panel
 from dayspan.plans.time import _interp
 
@@ -141,7 +141,7 @@ def compare_classifiers(spark, sf):
 
 
 _VSQ = " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(1, 9))
-_TEST = f"{inp.SQL_VEC}, p AS (SELECT *, row_number() OVER (ORDER BY (vec_id % 2147483648 * 2654435761 + {42 * 40503}) % 4294967296, vec_id) AS pos, count(*) OVER () AS n FROM vec)"
+_TEST = f"{inp.SQL_VEC}, p AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('vec_id')}, vec_id) AS pos, count(*) OVER () AS n FROM vec)"
 
 
 @query(

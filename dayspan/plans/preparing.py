@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dayspan.operators import encode, impute, transform
 from dayspan.operators import timeline as tl
 from dayspan.plans import inputs as inp
-from dayspan.plans.base import query, r6
+from dayspan.plans.base import hash_sql, query, r6
 
 _CODES = "SELECT *, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS seg, CASE WHEN region IS NULL THEN (SELECT count(DISTINCT region) FROM d) ELSE dense_rank() OVER (ORDER BY region NULLS LAST) - 1 END AS reg FROM d"
 _D = f"{inp.SQL_DEMO}, d AS (SELECT num_id, c_mktsegment, CASE WHEN c_acctbal > 0 THEN r_name END AS region FROM demo)"
@@ -123,11 +123,7 @@ def keyed_panel(spark, sf):
 _KEYED = f"{inp.SQL_DAY}, kp AS (SELECT num_id * 100000 + date_diff('day', DATE '2000-01-01', dt) AS cell_row, num_id, dt, {', '.join(inp.FEATURES)} FROM panel)"
 
 
-def _h(expr: str) -> str:
-    return f"(({expr}) % 2147483648 * 2654435761 + {42 * 40503}) % 4294967296"
-
-
-_CELLS = " UNION ALL ".join(f"SELECT cell_row, '{c}' AS \"column\", {c} AS value, {_h(f'cell_row * 5 + {i}')} AS h FROM kp" for i, c in enumerate(inp.FEATURES))
+_CELLS = " UNION ALL ".join(f"SELECT cell_row, '{c}' AS \"column\", {c} AS value, {hash_sql(f'cell_row * 5 + {i}')} AS h FROM kp" for i, c in enumerate(inp.FEATURES))
 _HIDDEN = (
     f"{_KEYED}, cells AS ({_CELLS}), hid AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY h, cell_row, \"column\") AS pos FROM cells WHERE value IS NOT NULL) "
     f"WHERE pos <= (SELECT CAST(floor(count(*) * {len(inp.FEATURES)} * 0.1) AS BIGINT) FROM kp))"
@@ -151,7 +147,7 @@ def simulate_missing_truth(spark, sf):
 
 
 _ONE = (
-    f"{_KEYED}, hid AS (SELECT cell_row FROM (SELECT cell_row, row_number() OVER (ORDER BY {_h('cell_row')}, cell_row) AS pos FROM kp WHERE view IS NOT NULL) "
+    f"{_KEYED}, hid AS (SELECT cell_row FROM (SELECT cell_row, row_number() OVER (ORDER BY {hash_sql('cell_row')}, cell_row) AS pos FROM kp WHERE view IS NOT NULL) "
     "WHERE pos <= (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM kp))"
 )
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from dayspan.operators import splits
 from dayspan.plans import inputs as inp
-from dayspan.plans.base import query
-from dayspan.plans.preparing import _h, keyed_panel
+from dayspan.plans.base import hash_sql, query
+from dayspan.plans.preparing import keyed_panel
 
-_PEOPLE = f"p AS (SELECT num_id, row_number() OVER (ORDER BY {_h('num_id')}, num_id) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT user_id AS num_id FROM events))"
+_PEOPLE = f"p AS (SELECT num_id, row_number() OVER (ORDER BY {hash_sql('num_id')}, num_id) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT user_id AS num_id FROM events))"
 
 
 def _people(spark, sf):
@@ -35,7 +35,7 @@ def group_split3(spark, sf):
 
 @query(
     "row_split3",
-    f"WITH p AS (SELECT event_id, row_number() OVER (ORDER BY {_h('event_id')}, event_id) AS pos, count(*) OVER () AS n FROM events) {_three('p', 'event_id')}",
+    f"WITH p AS (SELECT event_id, row_number() OVER (ORDER BY {hash_sql('event_id')}, event_id) AS pos, count(*) OVER () AS n FROM events) {_three('p', 'event_id')}",
 )
 def row_split3(spark, sf):
     return splits.row_split3(inp.table(spark, sf, "events").select("event_id"), "event_id")
@@ -60,7 +60,7 @@ def window_split(spark, sf):
 
 @query(
     "group_kfold",
-    f"WITH s AS (SELECT user_id AS num_id, count(*) AS rows FROM events GROUP BY 1), r AS (SELECT *, (row_number() OVER (ORDER BY rows DESC, {_h('num_id')}, num_id) - 1) % 10 AS turn FROM s) "
+    f"WITH s AS (SELECT user_id AS num_id, count(*) AS rows FROM events GROUP BY 1), r AS (SELECT *, (row_number() OVER (ORDER BY rows DESC, {hash_sql('num_id')}, num_id) - 1) % 10 AS turn FROM s) "
     "SELECT num_id, rows, CAST(CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS INTEGER) AS fold FROM r",
 )
 def group_kfold(spark, sf):
@@ -69,7 +69,7 @@ def group_kfold(spark, sf):
 
 @query(
     "kfold",
-    f"SELECT cell_row, CAST((row_number() OVER (ORDER BY {_h('cell_row')}, cell_row) - 1) % 10 AS INTEGER) AS fold FROM "
+    f"SELECT cell_row, CAST((row_number() OVER (ORDER BY {hash_sql('cell_row')}, cell_row) - 1) % 10 AS INTEGER) AS fold FROM "
     "(SELECT DISTINCT user_id * 100000 + date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) AS cell_row FROM events)",
 )
 def kfold(spark, sf):
