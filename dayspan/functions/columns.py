@@ -77,6 +77,14 @@ def finite_or_unit(col: Column) -> Column:
     )
 
 
+def lookup(col: Column, values: dict) -> Column:
+    """Value of a small fixed mapping as a chain of comparisons, which stays in generated code."""
+    expr = None
+    for key, value in values.items():
+        expr = F.when(col == key, F.lit(value)) if expr is None else expr.when(col == key, F.lit(value))
+    return expr
+
+
 def safe_corr(a: str, b: str) -> Column:
     """Pearson r over rows where both are known; missing where one does not vary.
 

@@ -15,11 +15,19 @@ from pyspark.sql import functions as F
 from dayspan.session import shuffle_width
 
 
-def range_bounds(df: DataFrame, col: str, slices: int) -> list[float]:
-    """Approximate quantile cuts; they only balance the slices, results stay exact."""
+# Share of rows read to place the cuts; a table too small to be sampled needs no cuts.
+CUT_SAMPLE = 0.05
+
+
+def range_bounds(df: DataFrame, cols: Sequence[str], slices: int) -> list[list[float]]:
+    """Approximate quantile cuts per column, from one sampled pass.
+
+    They only balance the slices: every result below is exact for any cuts.
+    """
     probs = [i / slices for i in range(1, slices)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 1000)).first()
-    return sorted(set(row[0] or []))
+    cuts = [F.percentile_approx(F.col(c).cast("double"), probs, 1000).alias(c) for c in cols]
+    row = df.select(*cols).sample(CUT_SAMPLE, seed=17).agg(*cuts).first()
+    return [sorted(set(row[c] or [])) for c in cols]
 
 
 def slice_of(col: Column, bounds: Sequence[float]) -> Column:
@@ -35,15 +43,15 @@ def running_totals(
     by: Sequence[str],
     value: str,
     weights: Sequence[str],
-    bounds: Sequence[float] | None = None,
+    rows: DataFrame,
 ) -> DataFrame:
     """Add ``cum_{w}`` (total of w up to and with the value) and ``tot_{w}``.
 
     ``counts`` holds one row per (by, value): pre-aggregate first, so a value
-    shared by very many rows arrives here as a single row.
+    shared by very many rows arrives here as a single row. ``rows`` is the table
+    before that step; the cuts are placed on it, without a shuffle.
     """
-    if bounds is None:
-        bounds = range_bounds(counts, value, min(shuffle_width(counts), 256))
+    (bounds,) = range_bounds(rows, [value], min(shuffle_width(counts), 256))
     by = list(by)
     sliced = counts.withColumn("_slice", slice_of(F.col(value), bounds))
     inner = (
@@ -56,17 +64,16 @@ def running_totals(
     anchor = [F.col(c) for c in by] or [F.lit(1)]
     before = Window.partitionBy(*anchor).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*anchor)
+    keys = [*by, "_slice"]
     offsets = totals.select(
-        *by,
-        "_slice",
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
         *[F.coalesce(F.sum(f"_s_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights],
         *[F.sum(f"_s_{w}").over(whole).alias(f"tot_{w}") for w in weights],
     )
     local = sliced.select("*", *[F.sum(w).over(inner).alias(f"_c_{w}") for w in weights])
-    keys = [*by, "_slice"]
-    match = [local[k].eqNullSafe(offsets[k]) for k in keys]
+    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return local.join(offsets, match).select(
-        *[local[c] for c in counts.columns],
+        *counts.columns,
         *[(F.col(f"_o_{w}") + F.col(f"_c_{w}")).alias(f"cum_{w}") for w in weights],
         *[F.col(f"tot_{w}") for w in weights],
     )
@@ -104,9 +111,10 @@ def number_rows(
         low, high = uniform
         cut = F.floor((F.col(order[0]) - low) * slices / (high - low)).cast("int")
     else:
-        cut = slot_of(F.col(order[0]), range_bounds(df, order[0], slices))
+        cuts = range_bounds(df, list(order[:2]), slices)
+        cut = slot_of(F.col(order[0]), cuts[0])
         if len(order) > 1:
-            finer = slice_of(F.col(order[1]), range_bounds(df, order[1], slices))
+            finer = slice_of(F.col(order[1]), cuts[1])
             part = F.when(cut % 2 == 1, finer).otherwise(F.lit(0))
     sliced = df.withColumns({"_slice": F.coalesce(cut, F.lit(-1)), "_part": F.coalesce(part, F.lit(-1))})
     per_slice = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -131,7 +139,7 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), keep: Seque
         F.count(F.lit(1)).alias("n")
     )
     tied = fine.groupBy(*by, value).agg(F.sum("n").alias("ties"))
-    ranked = running_totals(tied, by, value, ["ties"]).select(
+    ranked = running_totals(tied, by, value, ["ties"], df).select(
         *by, value, "ties", "tot_ties",
         (F.col("cum_ties") - F.col("ties") + (F.col("ties") + 1) / 2).alias("rank"),
     )
@@ -152,7 +160,7 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_totals(counts, by, value, ["n"])
+    ranked = running_totals(counts, by, value, ["n"], df)
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n")
     picks, result = [], []
     for name, p in probs.items():

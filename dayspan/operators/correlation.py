@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayspan.functions.columns import safe_corr
+from dayspan.functions.columns import lookup, safe_corr
 
 PAIRS_PER_AGG = 300
 
@@ -65,8 +65,7 @@ def person_corr(df: DataFrame, cols: Sequence[str], key: str = "num_id", diagona
 def upper_triangle(long: DataFrame, cols: Sequence[str], key: str = "num_id") -> DataFrame:
     """Each person's upper triangle as one vector in column order (p(p-1)/2 numbers)."""
     order = {c: i for i, c in enumerate(cols)}
-    place = F.create_map(*[x for a, b in combinations(cols, 2) for x in (F.lit(f"{a}|{b}"), F.lit(order[a] * len(cols) + order[b]))])
-    at = place[F.concat_ws("|", "var_i", "var_j")]
+    at = lookup(F.col("var_i"), order) * len(cols) + lookup(F.col("var_j"), order)
     cells = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("r"))))
     return long.filter("var_i != var_j").groupBy(key).agg(F.transform(cells, lambda x: x["r"]).alias("vector"))
 

@@ -9,7 +9,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayspan.functions.columns import stable_hash
+from dayspan.functions.columns import lookup, stable_hash
 from dayspan.functions.ordered import number_rows
 from dayspan.operators.clean import replace_columns
 from dayspan.operators.inference import ks_two_sample
@@ -36,10 +36,9 @@ def simulate_missing(
     Returns the masked frame and the truth table (key, column, value). Cells are
     taken in the order of a hash of (row, column), so a rerun hides the same ones.
     """
-    place = {c: i for i, c in enumerate(cols)}
-    at = F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(i))])
+    at = lookup(F.col("column"), {c: i for i, c in enumerate(cols)})
     cells = df.unpivot([key], list(cols), "column", "value").filter(F.col("value").isNotNull())
-    keyed = cells.withColumn("_h", stable_hash(F.col(key) * len(cols) + at[F.col("column")], seed))
+    keyed = cells.withColumn("_h", stable_hash(F.col(key) * len(cols) + at, seed))
     take = int(df.count() * len(cols) * share)
     hidden = number_rows(keyed, ["_h", key, "column"], "_at", HASH_RANGE).filter(F.col("_at") <= take).select(key, "column", "value")
     return _hide(df, key, hidden, cols), hidden

@@ -34,7 +34,7 @@ def ks_two_sample(df: DataFrame, value: str, first: Column, by: Sequence[str] =
         .groupBy(*by, value)
         .agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
     )
-    ranked = running_totals(counts, by, value, ["a", "b"])
+    ranked = running_totals(counts, by, value, ["a", "b"], df)
     gap = F.abs(F.try_divide("cum_a", "tot_a") - F.try_divide("cum_b", "tot_b"))
     out = ranked.groupBy(*by).agg(
         F.max("tot_a").alias("n_a"), F.max("tot_b").alias("n_b"), F.max(gap).alias("statistic")

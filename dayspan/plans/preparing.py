@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dayspan.operators import encode, impute, transform
 from dayspan.operators import timeline as tl
 from dayspan.plans import inputs as inp
+from dayspan.session import cut_lineage
 from dayspan.plans.base import hash_sql, query, r6
 
 _CODES = "SELECT *, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS seg, CASE WHEN region IS NULL THEN (SELECT count(DISTINCT region) FROM d) ELSE dense_rank() OVER (ORDER BY region NULLS LAST) - 1 END AS reg FROM d"
@@ -181,7 +182,7 @@ _PAIRED = (
 )
 def imputation_error(spark, sf):
     """Hidden cells guessed by the person's mean, scored per column."""
-    p = keyed_panel(spark, sf)
+    p = cut_lineage(keyed_panel(spark, sf))
     _, truth = impute.simulate_missing(p, "cell_row", inp.FEATURES)
     means = p.groupBy("num_id").agg(*[F.avg(c).alias(c) for c in inp.FEATURES])
     guess = p.select("cell_row", "num_id").join(means, "num_id")

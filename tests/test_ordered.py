@@ -27,7 +27,7 @@ def test_number_rows_is_a_total_order(spark, hot):
 
 def test_a_hot_first_value_is_cut_by_the_second_column(spark, hot):
     df = spark.createDataFrame(hot)
-    bounds = od.range_bounds(df, "x", 8)
+    (bounds,) = od.range_bounds(df, ["x"], 8)
     slots = df.select("x", od.slot_of(F.col("x"), bounds).alias("s")).distinct().toPandas()
     at = slots.loc[slots.x == 5.0, "s"].iloc[0]
     assert at % 2 == 1 and (slots.s == at).sum() == 1
@@ -52,8 +52,9 @@ def test_quantiles(spark, hot):
 
 
 def test_running_totals_without_groups(spark, hot):
-    counts = spark.createDataFrame(hot).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    got = od.running_totals(counts, [], "x", ["n"]).toPandas().sort_values("x")
+    rows = spark.createDataFrame(hot)
+    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    got = od.running_totals(counts, [], "x", ["n"], rows).toPandas().sort_values("x")
     assert (got["cum_n"].to_numpy() == got["n"].cumsum().to_numpy()).all()
     assert set(got["tot_n"]) == {len(hot)}
 
