@@ -9,7 +9,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayspan.functions.columns import lookup, stable_hash
+from dayspan.functions.columns import stable_hash
 from dayspan.functions.ordered import number_rows
 from dayspan.operators.clean import replace_columns
 from dayspan.operators.inference import ks_two_sample
@@ -36,9 +36,11 @@ def simulate_missing(
     Returns the masked frame and the truth table (key, column, value). Cells are
     taken in the order of a hash of (row, column), so a rerun hides the same ones.
     """
-    at = lookup(F.col("column"), {c: i for i, c in enumerate(cols)})
-    cells = df.unpivot([key], list(cols), "column", "value").filter(F.col("value").isNotNull())
-    keyed = cells.withColumn("_h", stable_hash(F.col(key) * len(cols) + at, seed))
+    long = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(i).alias("_at"), F.col(c).alias("value")) for i, c in enumerate(cols)
+    ])
+    cells = df.select(key, F.explode(long).alias("_c")).select(key, "_c.*").filter(F.col("value").isNotNull())
+    keyed = cells.select(key, "column", "value", stable_hash(F.col(key) * len(cols) + F.col("_at"), seed).alias("_h"))
     take = int(df.count() * len(cols) * share)
     hidden = number_rows(keyed, ["_h", key, "column"], "_at", HASH_RANGE).filter(F.col("_at") <= take).select(key, "column", "value")
     return _hide(df, key, hidden, cols), hidden
@@ -134,7 +136,8 @@ def forest_impute(
             inputs = [x for x in cols if x != c] + extra
             features = VectorAssembler(inputCols=inputs, outputCol="_x")
             forest = RandomForestRegressor(
-                featuresCol="_x", labelCol=c, predictionCol="_guess", numTrees=trees, maxDepth=depth, seed=seed
+                featuresCol="_x", labelCol=c, predictionCol="_guess", numTrees=trees, maxDepth=depth, seed=seed,
+                featureSubsetStrategy="all",
             )
             ready = features.transform(state)
             model = forest.fit(ready.filter(~F.col(f"_gap_{c}")))

@@ -189,8 +189,10 @@ def fit_and_score(estimator: Estimator, rows: DataFrame, classify: bool = False)
 
 
 def forest(classify: bool = False, trees: int = 100, depth: int = 5, **more) -> Estimator:
-    kind = RandomForestClassifier if classify else RandomForestRegressor
-    return kind(labelCol="y", numTrees=trees, maxDepth=depth, seed=42, **more)
+    """Random forest; a regression split looks at all features, a classification split at their root."""
+    if classify:
+        return RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, seed=42, **more)
+    return RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=depth, seed=42, featureSubsetStrategy="all", **more)
 
 
 def linear_svc(iterations: int = 100) -> Estimator:
@@ -218,7 +220,7 @@ def regressors(iterations: int | None = None, trees: int = 100) -> dict[str, Est
         "linear": LinearRegression(labelCol="y", solver="normal"),
         "decision_tree": DecisionTreeRegressor(labelCol="y", maxDepth=10, seed=42),
         "random_forest": forest(trees=trees),
-        "bagging": forest(trees=10, featureSubsetStrategy="all"),
+        "bagging": forest(trees=10),
         **{f"gbt_{n}": boost(n) for n in GBT_PRESETS},
     }
 
