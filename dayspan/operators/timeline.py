@@ -19,12 +19,23 @@ UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 FROM_HERE = (Window.currentRow, Window.unboundedFollowing)
 
 
+def minute_slice(df: DataFrame, ts: str) -> Column:
+    """Minute of a timestamp as a value that never falls as time goes on.
+
+    A zone-free timestamp is read as written: cutting it in the session's zone
+    could reorder the hours around a clock change.
+    """
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.hour(ts) * 60 + F.minute(ts)
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 60)
+
+
 def fill_within(
     df: DataFrame, group: Sequence[str], order: Sequence[str], cols: Sequence[str], slice_by: Column | None = None
 ) -> DataFrame:
     """Forward fill, then backward fill, inside each group.
 
-    ``slice_by`` must not decrease along ``order`` (e.g. the minute of a timestamp).
+    ``slice_by`` must not decrease along ``order`` inside a group (e.g. ``minute_slice`` of a day).
     With it a very large group is filled slice by slice; values cross slices
     through a table of each slice's first and last known value.
     """
@@ -68,7 +79,6 @@ def combine_same_day(
     text_rule: str = "last",
     week: str | None = None,
     date: str = "dt",
-    slice_unit: str = "minute",
 ) -> DataFrame:
     """One row per person and day: fill gaps both ways inside the day, then average.
 
@@ -82,7 +92,7 @@ def combine_same_day(
     sliced = df.select(
         key,
         F.to_date(ts).alias(date),
-        F.date_trunc(slice_unit, ts).alias("_slice"),
+        minute_slice(df, ts).alias("_slice"),
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
         *[F.col(c) for c in (*numbers, *texts)],
         *([F.col(week)] if week else []),

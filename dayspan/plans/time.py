@@ -31,7 +31,7 @@ def day_number(spark, sf):
 def fill_within_day(spark, sf):
     e = inp.ev_raw(spark, sf).drop("event_type")
     return tl.fill_within(
-        e, ["num_id", "dt"], ["ts", "event_id"], inp.FEATURES, slice_by=F.date_trunc("minute", "ts")
+        e, ["num_id", "dt"], ["ts", "event_id"], inp.FEATURES, slice_by=tl.minute_slice(e, "ts")
     ).drop("ts")
 
 

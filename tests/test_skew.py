@@ -46,6 +46,7 @@ def test_combine_same_day(spark, raw):
 def test_sliced_fill_equals_plain_fill(spark, raw):
     df = _spark(spark, raw).withColumn("d", F.to_date("ts"))
     plain = tl.fill_within(df, ["num_id", "d"], ["ts", "ord"], ["a", "b"])
-    sliced = tl.fill_within(df, ["num_id", "d"], ["ts", "ord"], ["a", "b"], slice_by=F.date_trunc("hour", "ts"))
-    assert sorted(plain.columns) == sorted(sliced.columns)
-    assert plain.exceptAll(sliced.select(*plain.columns)).count() == 0
+    for slices in (F.hour("ts"), tl.minute_slice(df, "ts")):
+        sliced = tl.fill_within(df, ["num_id", "d"], ["ts", "ord"], ["a", "b"], slice_by=slices)
+        assert sorted(plain.columns) == sorted(sliced.columns)
+        assert plain.exceptAll(sliced.select(*plain.columns)).count() == 0
