@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +18,6 @@ SECTIONS = (
 
 def _load() -> None:
     for name in SECTIONS:
-        if importlib.util.find_spec(f"dayspan.plans.{name}") is None: continue
         importlib.import_module(f"dayspan.plans.{name}")
 
 

@@ -85,6 +85,26 @@ def test_encode_missing_is_last_and_decodes(spark):
     assert sorted(encode.label_decode(coded, ["c"], key).collect()) == sorted(df.collect())
 
 
+def test_many_distinct_labels_are_ranked_in_slices(spark, monkeypatch):
+    names = [f"Customer#{i * 7919 % 2500:06d}" for i in range(600)] + ["Customer#", "Customer#é", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names * 2)], "id int, c string")
+    small = {r["label"]: r["encoding"] for r in encode.encoder_key(df, ["c"]).collect()}
+    monkeypatch.setattr(encode, "CATEGORY_BOUND", 5)
+    large = {r["label"]: r["encoding"] for r in encode.encoder_key(df, ["c"]).collect()}
+    known = sorted({n for n in names if n is not None}, key=lambda n: n.encode())
+    assert large == small == {**{n: i for i, n in enumerate(known)}, None: len(known)}
+
+
+def test_numbers_are_coded_in_number_order(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i == 3 else (i * 37) % 101) for i in range(101)], "id int, c int")
+    want = {str(v): n for n, v in enumerate(sorted({(i * 37) % 101 for i in range(101)} - {(3 * 37) % 101}))}
+    for bound in (encode.CATEGORY_BOUND, 5):
+        monkeypatch.setattr(encode, "CATEGORY_BOUND", bound)
+        got = {r["label"]: r["encoding"] for r in encode.encoder_key(df, ["c"]).collect()}
+        assert got == {**want, None: len(want)}
+        assert encode.label_encode(df, ["c"])[0].filter("id = 3").first()["c"] == len(want)
+
+
 def test_log_is_refused_for_negative_columns(spark):
     df = spark.createDataFrame([(1.0, -1.0), (0.0, 2.0)], "a double, b double")
     out, refused = clean.log1p_safe(df, ["a", "b"])
