@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-OPERATORS = ("mixing", "chat", "urls", "tokens")
+OPERATORS = ("mixing", "decontaminate", "chat", "urls", "tokens")
 
 
 def query(name: str, sql: str | None = None):
