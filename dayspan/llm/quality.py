@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from dayspan.llm import textscan as ts
 from dayspan.llm.rowscan import scan
 
+CHUNK = 1 << 18  # bytes; the n-grams of a chunk take some fifty times as much
 DIMS = 1 << 16  # of each of the two n-gram families
 PER_CLASS, LEAST = 1500, 20  # rows of each class in the sample, at most and at least
 ROUNDS, RATE, DECAY = 80, 0.5, 1e-6
@@ -83,9 +84,9 @@ class Scan:
         """For each n-gram family: slots of all n-grams, their rows, number per row."""
         raw, n = self.raw, len(self.at) - 1
         pairs, first = ts.shingles(self.hashes, self.rows, 2)
-        words = (np.concatenate([self.hashes, pairs]) >> np.uint64(48)).astype(np.int64)
+        words = (np.concatenate([self.hashes, pairs]) >> np.uint64(48)).astype(np.int32)
         word_rows = np.concatenate([self.rows, self.rows[first]])
-        byte_rows = np.repeat(np.arange(n), np.diff(self.at))
+        byte_rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.at))
         slots, rows = [], []
         value = np.zeros(len(raw), np.uint32)
         for k in range(4):
@@ -93,7 +94,7 @@ class Scan:
             if k >= 2:
                 whole = np.flatnonzero(byte_rows[:max(0, len(raw) - k)] == byte_rows[k:])
                 mixed = (value[whole] + np.uint32(k)) * np.uint32(0x9E3779B1)
-                slots.append(((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.int64))
+                slots.append(((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.int32))
                 rows.append(byte_rows[whole])
         out = []
         for s, r in ((words, word_rows), (np.concatenate(slots), np.concatenate(rows))):
@@ -123,7 +124,7 @@ def shares(chunk: Scan) -> list[tuple[np.ndarray, np.ndarray]]:
     parts = [[], []]
     n = len(chunk.at) - 1
     for f, (slots, rows, count) in enumerate(chunk.features()):
-        key, times = np.unique(rows * DIMS + slots, return_counts=True)
+        key, times = np.unique(rows.astype(np.int64) * DIMS + slots, return_counts=True)
         row = key // DIMS
         value = SCALE * times / np.maximum(count[row], 1)
         edges = np.searchsorted(row, np.arange(n + 1))
@@ -193,12 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     def vectors(batches):
         for batch in batches:
             raw, at = ts.text_bytes(batch.column(1))
-            slots, values = [], []
-            for _, _, part, offsets in ts.chunks(raw, at):
-                for s, x in shares(Scan(part, offsets)):
-                    slots.append(s.astype("<i4").tobytes())
-                    values.append(x.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "quality", "slots", "shares"])
+            for low, high, part, offsets in ts.chunks(raw, at, CHUNK):
+                made = shares(Scan(part, offsets))
+                cells = [pa.array([x[i].astype(kind).tobytes() for x in made], pa.binary()) for i, kind in ((0, "<i4"), (1, "<f4"))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), *cells], names=["doc_id", "quality", "slots", "shares"])
 
     made = rows.select("doc_id", F.col("text").cast("string"), "quality").mapInArrow(vectors, "doc_id long, quality int, slots binary, shares binary")
     found = sorted(made.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["slots"]))
@@ -218,7 +217,7 @@ def judge(docs: DataFrame, text: str, model: Model | None, threshold: float = TH
         def step(texts):
             raw, at = ts.text_bytes(texts)
             counts, chances = [np.zeros((5, 0), np.int64)], []
-            for _, _, part, offsets in ts.chunks(raw, at):
+            for _, _, part, offsets in ts.chunks(raw, at, CHUNK):
                 chunk = Scan(part, offsets)
                 counts.append(np.array(chunk.rules()))
                 chances += use.probability(use.score(chunk)).tolist() if use else [None] * (len(offsets) - 1)
