@@ -1,18 +1,18 @@
 """Repeated runs of lines, found by winnowing and removed where they come again.
 
 Lines with a word are hashed (white space at their ends apart). A window is the shortest run of
-lines from a line on, or up to a line, that has at least ``words`` words; its fingerprint is its
-smallest line hash. Two equal runs of that many words hold equal windows, so they share a
-fingerprint for certain: lines whose hash is a fingerprint at one place only lead nowhere, and
-only windows around fingerprints with two places or more are compared. Equal windows are
-joined to the earliest one (by document, then line). Windows from a line and up to a line
-overlap along an equal run in both directions, so the lines of all windows with an earlier
-copy are exactly the maximal equal runs of that many words, without their first occurrence.
-
-A document's removed lines leave the rest in place. Null texts have no lines and stay null;
-of rows with equal doc_id each is a document of its own, told apart by a hash of its text,
-and rows that are equal altogether repeat each other's lines; null doc_ids come first. A
-document whose lines are all removed keeps an empty text. Columns are kept inside ``row``.
+lines from a line on, or up to a line, that has at least ``words`` words; its fingerprint is the
+place of its smallest line hash. Two equal runs of that many words hold equal windows, so they
+share a fingerprint for certain. Fingerprints of one place only lead nowhere; the places of the
+others are joined, and only the windows around them are compared: equal ones with the earliest
+(by document, then line). Windows from a line and up to a line overlap along an equal run in
+both directions, so the lines of all windows that have an earlier copy are exactly the maximal
+equal runs of that many words, without their first occurrence.
+
+The rest of a document stays as it is. Null texts have no lines and stay null; a document whose
+lines are all removed keeps an empty text. Rows with equal id and text are one document and get
+the same result; rows with equal id and another text are told apart by a hash of the text. Null
+ids come first. Columns are kept inside ``row``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,57 +26,58 @@ EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc, line, h, words) of all lines with a word; ``doc`` is (doc_id, text hash, copy)."""
+    """(doc, line, h, words) of all lines with a word of (doc, text), one document in one place."""
     rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     rows = rows.select("doc", "line", F.xxhash64(F.regexp_replace("content", EDGE, "")).alias("h"), F.regexp_count("content", F.lit(shared.WORD)).alias("words"))
-    return rows.filter("words > 0")
+    return rows.filter("words > 0").repartition("doc").groupBy("doc", "line").agg(F.any_value("h").alias("h"), F.any_value("words").alias("words"))
 
 
 def windows(lines: DataFrame, words: int) -> DataFrame:
-    """(doc, first, last, fingerprint, hashes) of all windows from a line and up to a line."""
+    """(doc, first, last, mark, at, run, n): all windows from a line and up to a line.
+
+    ``mark`` and ``at`` are hash and line of the fingerprint, ``run`` and ``n`` hash and number of the lines.
+    """
     order = Window.partitionBy("doc").orderBy("line")
-    after = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.withColumn("after", after).withColumn("before", F.col("after") - F.col("words"))
+    rows = lines.withColumn("after", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("before", F.col("after") - F.col("words"))
     forward = Window.partitionBy("doc").orderBy("before").rangeBetween(0, words - 1)
     backward = Window.partitionBy("doc").orderBy("after").rangeBetween(-(words - 1), 0)
-    sides = []
-    for w in (forward, backward):
-        sides.append(F.struct(
+    sides = [
+        F.struct(
             F.min("line").over(w).alias("first"), F.max("line").over(w).alias("last"), F.sum("words").over(w).alias("size"),
-            F.min("h").over(w).alias("fingerprint"), F.collect_list("h").over(w).alias("hashes")))
-    rows = rows.select("doc", sides[0].alias("f"), sides[1].alias("b")).select("doc", F.explode(F.array("f", "b")).alias("w"))
-    return rows.filter(F.col("w.size") >= words).select("doc", "w.first", "w.last", "w.fingerprint", F.xxhash64("w.hashes").alias("run"), F.size("w.hashes").alias("n"))
+            F.min(F.struct("h", "line")).over(w).alias("least"), F.collect_list("h").over(w).alias("hashes"))
+        for w in (forward, backward)
+    ]
+    rows = rows.select("doc", sides[0].alias("f"), sides[1].alias("b")).select("doc", F.inline(F.array("f", "b"))).filter(F.col("size") >= words)
+    return rows.select("doc", "first", "last", F.col("least.h").alias("mark"), F.col("least.line").alias("at"), F.xxhash64("hashes").alias("run"), F.size("hashes").alias("n"))
 
 
 def repeated(lines: DataFrame, words: int) -> DataFrame:
     """(doc, first, last) of all windows that come earlier too."""
     made = windows(lines, words)
-    # a fingerprint's places: documents and, in one document, different windows' minima
-    places = made.groupBy("fingerprint").agg(
-        F.min(F.struct("doc", "first")).alias("low"), F.max(F.struct("doc", "last")).alias("high"), F.count("*").alias("n"))
-    wanted = places.filter("n > 1 and (low.doc <> high.doc or low.first <> high.last)").select("fingerprint")
-    near = made.join(wanted, "fingerprint", "left_semi")
+    place = F.struct("doc", "at")
+    several = made.groupBy("mark").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("mark")
+    near = made.join(several, "mark", "left_semi")
     here = F.struct("doc", "first")
-    earliest = near.groupBy("run", "n").agg(F.min(here).alias("original"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    return near.join(earliest, ["run", "n"]).filter(here > F.col("original")).select("doc", "first", "last").distinct()
+    earliest = near.groupBy("run", "n").agg(F.min(here).alias("original"), F.max(here).alias("latest")).filter("original <> latest").drop("latest")
+    return near.join(earliest, ["run", "n"]).filter(here > F.col("original")).select("doc", "first", "last")
 
 
 def without_repeats(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(row, n_lines, n_removed, kept): ``kept`` is the text without its repeated runs of lines."""
-    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("hash")).alias("name"), F.col(text).cast("string").alias("text"))
-    rows = rows.select("row", "text", F.struct("name.*", F.row_number().over(Window.partitionBy("name").orderBy(F.lit(0))).alias("copy")).alias("doc"))
-    spans = repeated(line_rows(rows.select("doc", "text")), words)
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans")).withColumnRenamed("doc", "s_doc")
-    rows = rows.join(spans, F.col("doc") == F.col("s_doc"), "left")
-    return rows.select("row", F.size(F.split("text", "\n")).alias("n_lines"), removed(F.col("text"), F.col("spans")).alias("done")).select(
-        "row", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).alias("n_lines"), F.coalesce("done.n", F.lit(0)).alias("n_removed"), F.col("done.kept").alias("kept"))
+    doc = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("hash"))
+    spans = repeated(line_rows(docs.select(doc.alias("doc"), F.col(text).cast("string").alias("text"))), words)
+    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans")).withColumnRenamed("doc", "s_doc")
+    rows = docs.select(F.struct("*").alias("row"), doc.alias("doc")).join(spans, F.col("doc") == F.col("s_doc"), "left")
+    body = F.col(f"row.`{text}`").cast("string")
+    rows = rows.select("row", F.coalesce(F.size(F.split(body, "\n")), F.lit(0)).alias("n_lines"), removed(body, F.col("spans")).alias("done"))
+    return rows.select("row", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.col("done.n").alias("n_removed"), F.col("done.kept").alias("kept"))
 
 
 def removed(text: Column, spans: Column) -> Column:
-    """(n, kept) of a text without the lines of its spans that have a word."""
+    """(n, kept): a text without the lines of its spans that have a word."""
     parts = F.split(text, "\n")
-    goes = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["last"]))))
-    has_word = lambda x: F.regexp_like(x, F.lit(shared.WORD))
-    stays = F.filter(parts, lambda x, i: ~(F.array_contains(goes, i) & has_word(x)))
+    inside = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["last"]))))
+    stays = F.filter(parts, lambda x, i: ~(F.array_contains(inside, i) & F.regexp_like(x, F.lit(shared.WORD))))
     return F.when(spans.isNull(), F.struct(F.lit(0).alias("n"), text.alias("kept"))).otherwise(
         F.struct((F.size(parts) - F.size(stays)).alias("n"), F.array_join(stays, "\n").alias("kept")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-OPERATORS = ("quality", "mixing", "decontaminate", "chat", "urls", "jaccard", "pages", "tokens")
+OPERATORS = ("lines", "quality", "mixing", "decontaminate", "chat", "urls", "jaccard", "pages", "tokens")
 
 
 def query(name: str, sql: str | None = None):
