@@ -5,7 +5,8 @@ columns. The first block holds, for each document, the rarest n-grams that it ca
 without: with n n-grams and similarity s, all but the last ceil(s * n) - 1 of them in the order
 of frequency. Documents with an equal column there are candidates; pairs whose sizes, or whose
 n-grams left after the column, cannot add up to the needed overlap are discarded. The overlap
-of the other pairs is then summed over all remaining columns.
+in the whole first block bounds that of the other pairs again; what still can be similar enough
+has its overlap summed over all columns.
 
 Equal sets are one row of the matrix. In a group of documents with a common column only the
 pairs with the group's most central member are tested first; the components of those links
@@ -35,6 +36,7 @@ from dayspan.llm.decontaminate import Lookup
 
 REPORT, ORDERED = 3, 500_000
 BATCH_BYTES = 32 << 20
+SLOTS = 1 << 22  # bits of the table of wanted ids
 
 
 def n_gram_rows(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,11 +124,22 @@ def document_sets(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> D
     return docs.mapInArrow(make, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, grams): sorted n-grams as 64-bit integers."""
+def full_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """(doc_id, grams): sorted n-grams of the documents (doc_id) that are wanted, and a few others.
+
+    Ids are looked up in a bit table of fixed size, so no text is shuffled; what else has the
+    bit of a wanted id falls out of the later joins.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    seen = np.zeros(SLOTS, bool)
+    table = wanted.select(slot.cast("int").alias("slot")).distinct().toArrow()  # at most SLOTS numbers
+    seen[table["slot"].to_numpy()] = True
+    given = docs.sparkSession.sparkContext.broadcast(np.packbits(seen))
 
     def make(batches):
+        bits = np.unpackbits(given.value).view(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()]))
             raw, at = ts.text_bytes(batch.column(1))
             for low, high, part, offsets in ts.chunks(raw, at):
                 h, rows = row_sets(*n_gram_rows(part, offsets, k))
@@ -135,12 +148,56 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 cells = [data[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(cells, pa.binary())], names=["doc_id", "grams"])
 
-    return docs.mapInArrow(make, "doc_id long, grams binary")
+    return docs.filter("doc_id is not null").select("doc_id", "text", slot.cast("int").alias("slot")).mapInArrow(make, "doc_id long, grams binary")
+
+
+def joined_pairs(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b) with the columns of ``rows`` for both, prefixed by a_ and b_."""
+    for side in "ab":
+        named = rows.select(*[F.col(c).alias(side if c == key else f"{side}_{c}") for c in rows.columns])
+        pairs = pairs.join(named, side)
+    return pairs
+
 
+def possible(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the overlap in the first block does not rule out.
 
-def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their whole overlap."""
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams")) for c in ("a", "b"))
+    Of two prefixes one ends first in the common order; past its end and past the last common
+    n-gram of the other one lie all n-grams that may still be common.
+    """
+    sides = F.sort_array(F.collect_list(F.struct("gram", "place")))
+    rows = entries.groupBy("node", "n", "tag").agg(sides.alias("s")).select("node", "n", F.col("s.gram").alias("grams"), F.col("s.place").alias("places"))
+
+    def bounded(batches):
+        for batch in batches:
+            at = {name: i for i, name in enumerate(batch.schema.names)}
+            n = [batch.column(at[f"{c}_n"]).to_numpy() for c in "ab"]
+            first = [x - (percent * x + 99) // 100 + 1 for x in n]
+            edges = [batch.column(at[f"{c}_grams"]).offsets.to_numpy() for c in "ab"]
+            grams = [batch.column(at[f"{c}_grams"]).values.to_numpy() for c in "ab"]
+            places = [batch.column(at[f"{c}_places"]).values.to_numpy() for c in "ab"]
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                low, high = [e[i] for e in edges], [e[i + 1] for e in edges]
+                x, y = grams[0][low[0]:high[0]], grams[1][low[1]:high[1]]
+                where = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = np.flatnonzero(y[where] == x)
+                if not len(both):
+                    continue
+                last = places[0][low[0] + both].max(), places[1][low[1] + where[both]].max()
+                rest = [m[i] - 1 - p for m, p in zip(n, last)]
+                most = len(both) + max(min(n[0][i] - first[0][i], rest[1]), min(rest[0], n[1][i] - first[1][i]))
+                keep[i] = most * (100 + percent) >= percent * (n[0][i] + n[1][i])
+            yield batch.filter(pa.array(keep)).select([at["a"], at["b"]])
+
+    return joined_pairs(pairs, rows, "node").mapInArrow(bounded, "a long, b long").distinct()
+
+
+def tested(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by their overlap in all columns."""
+    pairs = shared.stored(pairs, "possible-pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    sets = shared.stored(full_sets(docs, k, wanted), "whole-sets")
 
     def overlap(batches):
         for batch in batches:
@@ -154,8 +211,7 @@ def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and len(y) > 0)
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "a_grams", "b_grams")
-    return rows.mapInArrow(overlap, "a long, b long").distinct()
+    return joined_pairs(pairs, sets, "doc_id").select("a", "b", "a_grams", "b_grams").mapInArrow(overlap, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -164,24 +220,21 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     made = shared.stored(document_sets(docs, k, percent, frequent(docs, k)), "ngram-sets")
     equal = ["d1", "d2", "n"]
     classes = made.filter("n > 0").groupBy(*equal).agg(F.min("doc_id").alias("node"), F.min_by("prefix", "doc_id").alias("prefix"))
-    entries = classes.filter("node is not null").select("node", "n", F.posexplode("prefix").alias("place", "gram"))
+    entries = classes.filter("node is not null").select("node", "n", F.pmod("d1", F.lit(1 << 16)).cast("int").alias("tag"), F.posexplode("prefix").alias("place", "gram"))
     common = entries.groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1").select("gram")
-    entries = shared.stored(entries.join(common, "gram"), "common-ngrams")
-    inside = entries.select(F.col("node").alias("doc_id")).distinct()
-    sets = shared.stored(full_sets(docs.join(inside, "doc_id", "left_semi").select("doc_id", "text"), k).distinct(), "whole-sets")
-    # a member is central if few of its rare n-grams are its own
-    own = entries.groupBy("node", "n").agg((F.max("place") + 1 - F.count("*")).alias("own"))
-    hubs = entries.join(own, ["node", "n"]).groupBy("gram").agg(F.min(F.struct("own", "node", "n")).alias("hub"))
-    pairs = entries.join(hubs, "gram").filter("node <> hub.node").filter(
-        (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-    first = shared.stored(tested(pairs, sets, percent), "first-links")
-    known = graph.components(first)
-    # what is left: groups whose members lie in different components, after the bounds
+    # an n-gram can be the first common one of a pair only if the other size is within reach
     need = percent / (100.0 + percent)
-    known = known.select(F.col("node").alias("k_node"), F.col("component").alias("part"))
-    placed = entries.join(known, F.col("node") == F.col("k_node"), "left").select(
-        "gram", "node", "n", F.coalesce("part", "node").alias("part"),
-        F.floor((F.col("n") - F.col("place")) / need - F.col("n") + 1e-6).alias("reach"))
+    reach = F.floor((F.col("n") - F.col("place")) / need - F.col("n") + 1e-6)
+    entries = shared.stored(entries.join(common, "gram").withColumn("reach", reach), "common-ngrams")
+    # a member is central if few of its rare n-grams are its own
+    own = entries.groupBy("node", "n", "tag").agg((F.max("place") + 1 - F.count("*")).alias("own"))
+    hubs = entries.join(own, ["node", "n", "tag"]).groupBy("gram").agg(F.min(F.struct("own", "node", "n", "reach")).alias("hub"))
+    pairs = entries.join(hubs, "gram").filter("node <> hub.node and hub.n <= reach and n <= hub.reach")
+    pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    first = shared.stored(tested(possible(pairs, entries, percent), docs, k, percent), "first-links")
+    # what is left: groups whose members lie in different components, within the bounds
+    known = graph.components(first).select(F.col("node").alias("k_node"), F.col("component").alias("part"))
+    placed = entries.join(known, F.col("node") == F.col("k_node"), "left").select("gram", "node", "n", "reach", F.coalesce("part", "node").alias("part"))
     placed = shared.stored(placed, "placed-ngrams")
     smallest = placed.groupBy("gram").agg(F.min("n").alias("least"))
     able = placed.join(smallest, "gram").filter("reach >= least").drop("least")
@@ -189,7 +242,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     able = able.join(mixed, "gram")
     x, y = (able.select("gram", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "part", "reach")]) for p in "xy")
     open_pairs = x.join(y, "gram").filter("x_part < y_part and y_n <= x_reach and x_n <= y_reach").select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    more = tested(open_pairs, sets, percent)
+    more = tested(possible(open_pairs, entries, percent), docs, k, percent)
     nodes = graph.components(shared.stored(first.union(more), "all-links"))
     keys = classes.select(*[F.col(c).alias(f"c_{c}") for c in equal], F.col("node").alias("c_node"))
     same = F.col("d1").eqNullSafe(F.col("c_d1")) & (F.col("d2") == F.col("c_d2")) & (F.col("made_n") == F.col("c_n"))
