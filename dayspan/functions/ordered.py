@@ -3,64 +3,41 @@
 A window without a partition key, or with one hot key, puts all its rows in one
 task. Here the ordering value is cut into range slices, each slice is sorted on
 its own, and the slice totals (a table of slices, not rows) give the offsets.
+There are as many slices as the session has shuffle partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayspan.session import shuffle_width
+from dayspan.session import cut_lineage, shuffle_width
 
-
-# Share of rows read to place the cuts; a table too small to be sampled needs no cuts.
-CUT_SAMPLE = 0.05
-
-
-def range_bounds(df: DataFrame, cols: Sequence[str], slices: int) -> list[list[float]]:
-    """Approximate quantile cuts per column, from one sampled pass.
-
-    They only balance the slices: every result below is exact for any cuts.
-    """
-    probs = [i / slices for i in range(1, slices)]
-    cuts = [F.percentile_approx(F.col(c).cast("double"), probs, 1000).alias(c) for c in cols]
-    row = df.select(*cols).sample(CUT_SAMPLE, seed=17).agg(*cuts).first()
-    return [sorted(set(row[c] or [])) for c in cols]
-
-
-def slice_of(col: Column, bounds: Sequence[float]) -> Column:
-    """Index of the slice that holds the value."""
-    expr = F.lit(0)
-    for b in bounds:
-        expr = expr + (col.cast("double") > F.lit(float(b))).cast("int")
-    return expr
+_ROW_BITS = 33  # monotonically_increasing_id keeps the row's place below the partition's number
 
 
 def running_totals(
-    counts: DataFrame,
-    by: Sequence[str],
-    value: str,
-    weights: Sequence[str],
-    rows: DataFrame,
+    counts: DataFrame, by: Sequence[str], value: str, weights: Sequence[str], slices: int | None = None
 ) -> DataFrame:
     """Add ``cum_{w}`` (total of w up to and with the value) and ``tot_{w}``.
 
     ``counts`` holds one row per (by, value): pre-aggregate first, so a value
-    shared by very many rows arrives here as a single row. ``rows`` is the table
-    before that step; the cuts are placed on it, without a shuffle.
+    shared by very many rows arrives here as a single row. It is evaluated once;
+    Spark's range partitioner cuts it by value, then by group.
     """
-    (bounds,) = range_bounds(rows, [value], min(shuffle_width(counts), 256))
     by = list(by)
-    sliced = counts.withColumn("_slice", slice_of(F.col(value), bounds))
+    ranged = cut_lineage(counts).repartitionByRange(slices or shuffle_width(counts), value, *by)
+    sliced = ranged.withColumn("_slice", F.spark_partition_id())
     inner = (
         Window.partitionBy(*by, "_slice")
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    local = cut_lineage(sliced.select("*", *[F.sum(w).over(inner).alias(f"_c_{w}") for w in weights]))
     # One row per group and slice; the window below sees slices, not data rows.
-    totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
+    totals = local.groupBy(*by, "_slice").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
     anchor = [F.col(c) for c in by] or [F.lit(1)]
     before = Window.partitionBy(*anchor).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*anchor)
@@ -70,7 +47,6 @@ def running_totals(
         *[F.coalesce(F.sum(f"_s_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights],
         *[F.sum(f"_s_{w}").over(whole).alias(f"tot_{w}") for w in weights],
     )
-    local = sliced.select("*", *[F.sum(w).over(inner).alias(f"_c_{w}") for w in weights])
     match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return local.join(offsets, match).select(
         *counts.columns,
@@ -79,56 +55,45 @@ def running_totals(
     )
 
 
-def slot_of(col: Column, bounds: Sequence[float]) -> Column:
-    """Like ``slice_of``, but every cut value has an odd slot of its own.
-
-    A value that fills more than one slice is always a cut, so it ends up alone.
-    """
-    expr = F.lit(0)
-    for b in bounds:
-        x = col.cast("double")
-        expr = expr + (x > F.lit(float(b))).cast("int") + (x >= F.lit(float(b))).cast("int")
-    return expr
-
-
 def number_rows(
     df: DataFrame,
     order: Sequence[str],
     name: str,
     uniform: tuple[float, float] | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Row number from 1 over the whole table by ``order``; adds ``{name}_of`` (row count).
 
-    The first order column decides the slice; the rows of a value that is too
-    frequent for one slice are cut again by the second. ``uniform`` states the
-    range of an evenly spread column, such as a hash, and saves the passes that
-    find the cuts.
+    Spark's range partitioner cuts the rows by all order columns, so the rows of
+    a frequent first value are parted by the next ones; a row's number is its
+    place in its slice after the rows of the slices before. ``uniform`` states the
+    range of an evenly spread column, such as a hash, and saves the pass that
+    finds the cuts. The table is evaluated once.
     """
-    slices = min(shuffle_width(df), 256)
-    keys = ["_slice", "_part"]
-    part = F.lit(0)
+    slices = slices or shuffle_width(df)
     if uniform is not None:
         low, high = uniform
         cut = F.floor((F.col(order[0]) - low) * slices / (high - low)).cast("int")
+        inside = Window.partitionBy("_slice").orderBy(*order)
+        placed = df.withColumn("_slice", F.coalesce(cut, F.lit(-1))).withColumn("_rn", F.row_number().over(inside))
     else:
-        cuts = range_bounds(df, list(order[:2]), slices)
-        cut = slot_of(F.col(order[0]), cuts[0])
-        if len(order) > 1:
-            finer = slice_of(F.col(order[1]), cuts[1])
-            part = F.when(cut % 2 == 1, finer).otherwise(F.lit(0))
-    sliced = df.withColumns({"_slice": F.coalesce(cut, F.lit(-1)), "_part": F.coalesce(part, F.lit(-1))})
-    per_slice = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    in_order = Window.partitionBy(F.lit(1)).orderBy(*keys)  # slices, not rows
+        ranged = cut_lineage(df).repartitionByRange(slices, *order).sortWithinPartitions(*order)
+        place = ranged.withColumn("_m", F.monotonically_increasing_id())
+        placed = place.select(
+            *df.columns,
+            F.shiftright("_m", _ROW_BITS).cast("int").alias("_slice"),
+            (F.col("_m").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1).alias("_rn"),
+        )
+    placed = cut_lineage(placed)
+    per_slice = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    in_order = Window.partitionBy(F.lit(1)).orderBy("_slice")  # slices, not rows
     offsets = per_slice.select(
-        *keys,
+        F.col("_slice").alias("_k"),
         F.coalesce(F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias(f"{name}_of"),
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        sliced.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, keys)
-        .select(*df.columns, (F.col("_before") + F.col("_rn")).alias(name), f"{name}_of")
+    return placed.join(offsets, F.col("_slice") == F.col("_k")).select(
+        *df.columns, (F.col("_before") + F.col("_rn")).alias(name), f"{name}_of"
     )
 
 
@@ -139,7 +104,7 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), keep: Seque
         F.count(F.lit(1)).alias("n")
     )
     tied = fine.groupBy(*by, value).agg(F.sum("n").alias("ties"))
-    ranked = running_totals(tied, by, value, ["ties"], df).select(
+    ranked = running_totals(tied, by, value, ["ties"]).select(
         *by, value, "ties", "tot_ties",
         (F.col("cum_ties") - F.col("ties") + (F.col("ties") + 1) / 2).alias("rank"),
     )
@@ -148,19 +113,22 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), keep: Seque
     return fine.join(ranked, [*by, value])
 
 
-def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def group_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None
+) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one column per entry of ``probs``.
 
     ``percentile`` keeps all distinct values of a group in one buffer; this reads
-    the two neighbouring order statistics off the running counts instead.
+    the two neighbouring order statistics off the running counts instead. ``weight``
+    names the count column of a table that has one row per (by, value) already.
     """
     by = list(by)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = running_totals(counts, by, value, ["n"], df)
+    known = df.filter(F.col(value).isNotNull())
+    if weight is None:
+        counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = known.select(*by, value, F.col(weight).alias("n"))
+    ranked = running_totals(counts, by, value, ["n"])
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n")
     picks, result = [], []
     for name, p in probs.items():

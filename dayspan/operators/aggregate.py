@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayspan.functions.ordered import group_quantiles
+from dayspan.session import cut_lineage
 
 
 def weekly_panel(
@@ -75,44 +75,28 @@ def people_columns(
 
     All columns share a person's row count, so the coverage of a subset follows
     from known cells per (person, column). Persons with equal count vectors are
-    merged before the subsets are applied. Up to 16 columns every subset is
-    scored; above that columns are dropped one at a time, keeping the best set.
+    merged; each such profile is then spread over the subsets, numbered by their
+    bits, and the subsets are grouped: one path and one scan for any number of
+    columns. Subsets are as many as 2 to the number of columns.
     """
+    n = len(cols)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in cols])
-    profiles = counts.groupBy("_rows", *cols).agg(F.count(F.lit(1)).alias("_people"))
-    if len(cols) <= 16:
-        subsets = [s for k in range(len(cols), least - 1, -1) for s in combinations(cols, k)]
-        return _score_subsets(profiles, subsets, threshold)
-    profiles = profiles.persist()
-    known = profiles.agg(*[F.sum(F.col(c) * F.col("_people")).alias(c) for c in cols]).first()
-    current, steps = tuple(cols), []
-    while len(current) >= least:
-        steps.append(current)
-        options = [tuple(c for c in current if c != gone) for gone in current]
-        scored = {tuple(r["columns"].split(",")): r["num_people"] for r in _score_subsets(profiles, options, threshold).collect()}
-        # Among equals, drop the column with the fewest known cells.
-        current = max(options, key=lambda s: (scored[s], sum(known[c] or 0 for c in s)))
-    return _score_subsets(profiles, steps, threshold)
-
-
-def _score_subsets(profiles: DataFrame, subsets: Sequence[tuple[str, ...]], threshold: float) -> DataFrame:
-    """One grouping with one conditional sum per subset, in chunks that keep the plan small."""
-    parts = []
-    for at in range(0, len(subsets), 200):
-        chunk = subsets[at : at + 200]
-        sums = []
-        for s in chunk:
-            share = sum(F.col(c) for c in s) / (F.col("_rows") * len(s))
-            sums.append(F.sum(F.when(share >= threshold, F.col("_people")).otherwise(F.lit(0))).alias(",".join(s)))
-        wide = profiles.agg(*sums)
-        parts.append(wide.unpivot([], [F.col(f"`{','.join(s)}`") for s in chunk], "columns", "num_people"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(
-        "columns",
-        (F.size(F.split("columns", ","))).cast("long").alias("num_columns"),
-        F.coalesce("num_people", F.lit(0)).cast("long").alias("num_people"),
+    known = F.array(*[F.col(c) for c in cols])
+    profiles = counts.groupBy("_rows", *cols).agg(F.count(F.lit(1)).alias("_people")).select("_rows", known.alias("_known"), "_people")
+    # a profile of nobody, so that every subset has a row
+    nobody = df.sparkSession.createDataFrame([(1, [0] * n, 0)], "_rows long, _known array<long>, _people long")
+    low = min(n, 12)
+    spread = profiles.unionByName(nobody).select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << (n - low)) - 1))).alias("_high"))
+    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << low) - 1))).alias("_low"))
+    mask = (F.col("_high").cast("long") * (1 << low) + F.col("_low")).alias("_mask")
+    spread = spread.select("_rows", "_known", "_people", mask).filter(F.bit_count("_mask") >= least)
+    bit = lambda i: F.shiftright("_mask", i).bitwiseAND(F.lit(1).cast("long"))
+    total = sum((bit(i) * F.element_at("_known", i + 1) for i in range(n)), F.lit(0))
+    share = total / (F.col("_rows") * F.bit_count("_mask"))
+    scored = spread.groupBy("_mask").agg(F.sum(F.when(share >= threshold, F.col("_people")).otherwise(F.lit(0))).alias("num_people"))
+    names = F.array_join(F.array_compact(F.array(*[F.when(bit(i) == 1, F.lit(c)) for i, c in enumerate(cols)])), ",")
+    return scored.select(
+        names.alias("columns"), F.bit_count("_mask").cast("long").alias("num_columns"), F.col("num_people").cast("long").alias("num_people")
     )
 
 
@@ -218,8 +202,8 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, by: str, col: str) -> DataFrame:
     """Quartiles and the furthest values inside 1.5 interquartile ranges, per group."""
-    q = group_quantiles(df, [by], col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    values = df.filter(F.col(col).isNotNull()).groupBy(by, col).agg(F.count(F.lit(1)).alias("_n"))
+    values = cut_lineage(df.filter(F.col(col).isNotNull()).groupBy(by, col).agg(F.count(F.lit(1)).alias("_n")))
+    q = group_quantiles(values, [by], col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, weight="_n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = values.join(q, by).filter(F.col(col).between(F.col("q1") - reach, F.col("q3") + reach))
     return near.groupBy(by).agg(

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from dayspan.functions.columns import lookup, safe_corr
+from dayspan.functions.columns import lookup
 
-PAIRS_PER_AGG = 300
+# A spread below this share of the mean square is rounding: the column does not vary.
+NO_SPREAD = 1e-13
 
 
 def _pairs(cols: Sequence[str], diagonal: bool) -> list[tuple[str, str]]:
@@ -19,27 +23,52 @@ def _pairs(cols: Sequence[str], diagonal: bool) -> list[tuple[str, str]]:
 
 
 def _long(df: DataFrame, by: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """One aggregate per chunk of pairs, turned to long form. Pairwise-complete rows."""
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_AGG):
-        chunk = pairs[at : at + PAIRS_PER_AGG]
-        exprs = []
-        for k, (a, b) in enumerate(chunk):
-            if a == b:
-                # r of a column with itself is 1 where it varies.
-                e = F.when((F.count(a) >= 2) & (F.min(a) < F.max(a)), F.lit(1.0))
+    """r of every pair over its pairwise-complete rows, in long form, in one scan for any width.
+
+    A batch of rows gives the sums of all pairs as a few matrix products; the sums of
+    batches are added up by a grouping. Values are taken relative to one row's, which
+    keeps the products small.
+    """
+    by, cols = list(by), list(dict.fromkeys(c for p in pairs for c in p))
+    place = {c: i for i, c in enumerate(cols)}
+    left, right = (np.array([place[p[k]] for p in pairs]) for k in (0, 1))
+    one = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).first()
+    shift = np.array([one[c] or 0.0 for c in cols]) if one else np.zeros(len(cols))
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def sums(batches):
+        for batch in batches:
+            table = np.column_stack([np.asarray(batch.column(len(by) + i).cast(pa.float64()).to_numpy(zero_copy_only=False), float) for i in range(len(cols))])
+            known = np.column_stack([np.asarray(batch.column(len(by) + i).is_valid()) for i in range(len(cols))])
+            value = np.where(known, table - shift, 0.0)
+            if by:
+                groups = pa.table([batch.column(i) for i in range(len(by))], names=by)
+                code = groups.append_column("_row", pa.array(np.arange(batch.num_rows))).group_by(by, use_threads=False).aggregate([("_row", "list")])
+                parts = [np.asarray(x.values) for x in code["_row_list"].combine_chunks()]
             else:
-                e = safe_corr(a, b)
-            exprs.append(e.alias(f"_{k}"))
-        wide = df.groupBy(*by).agg(*exprs) if by else df.agg(*exprs)
-        cells = F.array(
-            *[F.struct(F.lit(a).alias("var_i"), F.lit(b).alias("var_j"), F.col(f"_{k}").alias("r")) for k, (a, b) in enumerate(chunk)]
-        )
-        parts.append(wide.select(*by, F.explode(cells).alias("p")).select(*by, "p.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                code, parts = None, [slice(None)]
+            found = []
+            for rows in parts:
+                x, m = value[rows], known[rows].astype(float)
+                xm, xx = x.T @ m, (x * x).T @ m
+                cells = [(m.T @ m)[left, right], xm[left, right], xm[right, left], xx[left, right], xx[right, left], (x.T @ x)[left, right]]
+                found.append(np.stack(cells))
+            flat = np.concatenate(found, 1)
+            keys = [code[c].combine_chunks().take(pa.array(np.repeat(np.arange(len(parts)), len(pairs)))) for c in by]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.tile(np.arange(len(pairs)), len(parts)), pa.int32()), *map(pa.array, flat)], names=[*by, "_pair", *names])
+
+    rows = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    schema = StructType([*[df.schema[c] for c in by], *StructType.fromDDL("_pair int, " + ", ".join(f"{n} double" for n in names)).fields])
+    total = rows.mapInArrow(sums, schema).groupBy(*by, "_pair").agg(*[F.sum(n).alias(n) for n in names])
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in names)
+    vx, vy, cov = sxx - F.try_divide(sx * sx, n), syy - F.try_divide(sy * sy, n), sxy - F.try_divide(sx * sy, n)
+    varies = (n >= 2) & (vx > NO_SPREAD * sxx) & (vy > NO_SPREAD * syy)
+    r = F.when(varies, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))))
+    var_i, var_j = (F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1))
+    return total.select(
+        *by, F.element_at(var_i, F.col("_pair") + 1).alias("var_i"), F.element_at(var_j, F.col("_pair") + 1).alias("var_j"),
+        F.when(F.element_at(var_i, F.col("_pair") + 1) == F.element_at(var_j, F.col("_pair") + 1), F.when(varies, F.lit(1.0))).otherwise(r).alias("r"),
+    )
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], diagonal: bool = False) -> DataFrame:

@@ -8,10 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Sides above this many bytes by the optimizer's estimate are never broadcast by hand.
-BROADCAST_LIMIT = 32 * 1024 * 1024
-
-
 def small_side(df: DataFrame, bound: int | None = None) -> DataFrame:
     """Broadcast hint for a lookup whose row count is bounded by construction or by count."""
     if bound is None:
@@ -42,15 +38,21 @@ def merge_all(tables: Sequence[DataFrame], keys: Sequence[str] | None = None, un
 
     With ``unique`` the caller states that each table has one row per key: the
     fold is then one union and one grouping, a single shuffle for any number of
-    tables, with partial aggregation before it.
+    tables, with partial aggregation before it. The same grouping counts the rows
+    of each table, and a key that a table holds twice raises an error.
     """
     if not unique:
         return reduce(lambda x, y: outer_merge(x, y, keys), tables)
     if not keys:
         raise ValueError("a union merge needs its keys stated")
-    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
-    values = [c for c in stacked.columns if c not in keys]
-    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
+    marked = [t.withColumn("_table", F.lit(i)) for i, t in enumerate(tables)]
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), marked)
+    values = [c for c in stacked.columns if c not in keys and c != "_table"]
+    most = F.greatest(F.lit(0), *[F.count_if(F.col("_table") == i) for i in range(len(tables))])
+    merged = stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values], most.alias("_rows"))
+    told = F.raise_error(F.lit("a table has several rows of one key; merge without unique"))
+    checked = F.when(F.col("_rows") > 1, told.cast("long")).otherwise(F.col("_rows"))
+    return merged.withColumn("_rows", checked).filter("_rows > 0").select(*keys, *values)
 
 
 def collisions(tables: Mapping[str, DataFrame], keys: Sequence[str]) -> list[tuple[str, str, str]]:

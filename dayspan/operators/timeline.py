@@ -147,11 +147,13 @@ def assign_week(df: DataFrame, key: str = "num_id", date: str = "dt", name: str
 def densify_days(df: DataFrame, key: str = "num_id", date: str = "dt") -> DataFrame:
     """Every calendar day between a person's first and last date, other columns missing.
 
-    Each row produces the days up to the next row of the person, so no join is needed.
+    The last row of a day produces the days up to the person's next date, so no
+    join is needed; further rows of the same day stay as they are.
     """
     rest = [c for c in df.columns if c not in (key, date)]
     following = F.lead(date).over(Window.partitionBy(key).orderBy(date))
-    span = df.withColumn("_until", F.coalesce(F.date_sub(following, 1), F.col(date)))
+    until = F.greatest(F.coalesce(F.date_sub(following, 1), F.col(date)), F.col(date))
+    span = df.withColumn("_until", until)
     days = span.select(
         key, date, *rest, F.explode(F.sequence(F.col(date), F.col("_until"))).alias("_day")
     )

@@ -25,12 +25,20 @@ def test_number_rows_is_a_total_order(spark, hot):
         assert sorted(got["at"]) == list(range(1, len(hot) + 1))
 
 
-def test_a_hot_first_value_is_cut_by_the_second_column(spark, hot):
+def test_a_thousand_slices(spark, hot):
     df = spark.createDataFrame(hot)
-    (bounds,) = od.range_bounds(df, ["x"], 8)
-    slots = df.select("x", od.slot_of(F.col("x"), bounds).alias("s")).distinct().toPandas()
-    at = slots.loc[slots.x == 5.0, "s"].iloc[0]
-    assert at % 2 == 1 and (slots.s == at).sum() == 1
+    got = od.number_rows(df, ["x", "id"], "at", slices=1000).toPandas().sort_values("at")
+    want = hot.sort_values(["x", "id"])
+    assert got["at"].tolist() == list(range(1, len(hot) + 1)) and got["id"].tolist() == want["id"].tolist()
+    counts = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    cum = od.running_totals(counts, ["g"], "x", ["n"], slices=1000).toPandas().sort_values(["g", "x"])
+    assert (cum["cum_n"] == cum.groupby("g")["n"].cumsum()).all()
+
+
+def test_a_hot_first_value_is_cut_by_the_second_column(spark, hot):
+    """A third of the rows share the first value; no slice holds more than a few of them."""
+    df = spark.createDataFrame(hot).repartitionByRange(40, "x", "id").withColumn("s", F.spark_partition_id())
+    assert df.filter("x = 5").groupBy("s").count().agg(F.max("count")).first()[0] < 150
 
 
 def test_average_ranks(spark, hot):
@@ -54,7 +62,7 @@ def test_quantiles(spark, hot):
 def test_running_totals_without_groups(spark, hot):
     rows = spark.createDataFrame(hot)
     counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    got = od.running_totals(counts, [], "x", ["n"], rows).toPandas().sort_values("x")
+    got = od.running_totals(counts, [], "x", ["n"]).toPandas().sort_values("x")
     assert (got["cum_n"].to_numpy() == got["n"].cumsum().to_numpy()).all()
     assert set(got["tot_n"]) == {len(hot)}
 
