@@ -44,6 +44,11 @@ PATTERNS["date"] = PATTERNS["date"].replace(r"([-/.])", "[-/.]").replace(r"\SEP"
 ANY = "|".join(PATTERNS.values())
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def keyed(key: str, kind: str, turn: Column, value: Column) -> Column:
     """48 bits of a keyed hash."""
     return F.conv(F.substring(F.sha2(F.concat_ws("/", F.lit(key), F.lit(kind), turn, value), 256), 1, 12), 16, 10).cast("long")
@@ -71,12 +76,15 @@ def permuted_signs(key: str, kind: str, text: Column) -> Column:
     def digest(turn: Column, other: Column) -> Column:
         return F.concat_ws("/", F.lit(key), F.lit(kind), turn, F.length(other), other)
 
-    half = F.floor(F.length(text) / 2).cast("int")
-    done = F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r")),
-        lambda s, i: F.when(i % 2 == 1, F.struct(turned(s["l"], digest(i, s["r"])).alias("l"), s["r"].alias("r")))
-        .otherwise(F.struct(s["l"].alias("l"), turned(s["r"], digest(i, s["l"])).alias("r"))))
-    return F.concat(done["l"], done["r"])
+    def rounds(text: Column) -> Column:
+        half = F.floor(F.length(text) / 2).cast("int")
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r")),
+            lambda s, i: F.when(i % 2 == 1, F.struct(bound(digest(i, s["r"]), lambda d: turned(s["l"], d)).alias("l"), s["r"].alias("r")))
+            .otherwise(F.struct(s["l"].alias("l"), bound(digest(i, s["l"]), lambda d: turned(s["r"], d)).alias("r"))),
+            lambda s: F.concat(s["l"], s["r"]))
+
+    return bound(text, rounds)
 
 
 def digits_of(text: Column) -> Column:
@@ -87,24 +95,26 @@ def filled(shape: Column, kept: str, signs: Column) -> Column:
     """``shape`` with its signs of class ``kept`` replaced by ``signs`` in order."""
     other = f"[^{kept}]"
     cells = F.filter(F.split(shape, ""), lambda x: x != "")
-    return F.array_join(F.transform(cells, lambda c, i: F.when(
-        F.regexp_like(c, F.lit(f"[{kept}]")), F.substring(signs, F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), other, "")), F.lit(1))).otherwise(c)), "")
+    return bound(signs, lambda new: F.array_join(F.transform(cells, lambda c, i: F.when(
+        F.regexp_like(c, F.lit(f"[{kept}]")), F.substring(new, F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), other, "")), F.lit(1))).otherwise(c)), ""))
 
 
 def luhn(digits: Column) -> Column:
     """Sum of the check rule over all digits, doubled from the last but one on."""
-    n = F.length(digits)
 
-    def part(i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int") * F.when((n - i) % 2 == 1, 2).otherwise(1)
-        return F.when(d > 9, d - 9).otherwise(d)
+    def total(text: Column) -> Column:
+        def part(i: Column) -> Column:
+            d = F.substring(text, i, F.lit(1)).cast("int") * F.when((F.length(text) - i) % 2 == 1, 2).otherwise(1)
+            return F.when(d > 9, d - 9).otherwise(d)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), lambda s, i: s + part(i))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + part(i))
+    return bound(digits, total)
 
 
 def mod97(signs: Column) -> Column:
     """Remainder of an account number, its first four signs moved to the end."""
-    moved = F.concat(F.substring(signs, F.lit(5), F.length(signs)), F.substring(signs, F.lit(1), F.lit(4)))
+    moved = bound(signs, lambda s: F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, F.lit(1), F.lit(4))))
 
     def step(s: Column, c: Column) -> Column:
         return F.when(c.between("0", "9"), (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
@@ -116,22 +126,22 @@ def _card(key: str, token: Column) -> tuple[Column, Column]:
     d = digits_of(token)
     n = F.length(d)
     body = F.concat(F.substring(d, F.lit(1), F.lit(1)), permuted_signs(key, "card", F.substring(d, F.lit(2), n - 2)))
-    check = (10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10
-    return (luhn(d) % 10 == 0) & (digits_of(F.regexp_replace(d, F.substring(d, F.lit(1), F.lit(1)), "")) != ""), filled(token, "0-9", F.concat(body, check.cast("string")))
+    new = bound(body, lambda b: F.concat(b, ((10 - luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+    return (luhn(d) % 10 == 0) & F.regexp_like(d, F.lit("[1-9]")), filled(token, "0-9", new)
 
 
 def _iban(key: str, token: Column) -> tuple[Column, Column]:
     s = F.replace(token, F.lit(" "), F.lit(""))
     land, rest = F.substring(s, F.lit(1), F.lit(2)), F.substring(s, F.lit(5), F.length(s))
-    rest = permuted_signs(key, "iban", rest)
-    check = 98 - mod97(F.concat(land, F.lit("00"), rest))
-    return (mod97(s) == 1), filled(token, "A-Z0-9", F.concat(land, F.lpad(check.cast("string"), 2, "0"), rest))
+    check = lambda r: F.lpad((98 - mod97(F.concat(land, F.lit("00"), r))).cast("string"), 2, "0")
+    new = bound(permuted_signs(key, "iban", rest), lambda r: F.concat(land, check(r), r))
+    return (mod97(s) == 1), filled(token, "A-Z0-9", new)
 
 
 def _ip(key: str, token: Column) -> tuple[Column, Column]:
     part = lambda i: F.element_at(F.split(token, r"\."), i).cast("int")
     new = permuted_pair(key, "ip", part(1) * 256 + part(2), part(3) * 256 + part(4), 65536, 65536)
-    text = F.concat_ws(".", F.floor(new["l"] / 256), new["l"] % 256, F.floor(new["r"] / 256), new["r"] % 256)
+    text = bound(new, lambda p: F.concat_ws(".", F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256))
     return F.greatest(*[part(i) for i in (1, 2, 3, 4)]) <= 255, text
 
 
@@ -140,9 +150,8 @@ def _ssn(key: str, token: Column) -> tuple[Column, Column]:
     good = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     place = F.when(area > 666, area - 2).otherwise(area - 1)
     new = permuted_pair(key, "ssn", place * 99 + group - 1, serial - 1, 898 * 99, 9999)
-    at = F.floor(new["l"] / 99)
-    area = F.when(at >= 665, at + 2).otherwise(at + 1)
-    return good, F.format_string("%03d-%02d-%04d", area, new["l"] % 99 + 1, new["r"] + 1)
+    area_at = lambda at: F.when(at >= 665, at + 2).otherwise(at + 1)
+    return good, bound(new, lambda p: F.format_string("%03d-%02d-%04d", area_at(F.floor(p["l"] / 99)), p["l"] % 99 + 1, p["r"] + 1))
 
 
 def _phone(key: str, token: Column) -> tuple[Column, Column]:
@@ -150,7 +159,7 @@ def _phone(key: str, token: Column) -> tuple[Column, Column]:
     lead, ten = F.substring(d, F.lit(1), F.length(d) - 10), F.substring(d, F.length(d) - 9, F.lit(10))
     area, exchange, line = (F.substring(ten, F.lit(a), F.lit(n)).cast("int") for a, n in ((1, 3), (4, 3), (7, 4)))
     new = permuted_pair(key, "phone", area - 200, (exchange - 200) * 10000 + line, 800, 8_000_000)
-    text = F.concat(lead, F.format_string("%03d%07d", new["l"] + 200, new["r"] + 2_000_000))
+    text = bound(new, lambda p: F.concat(lead, F.format_string("%03d%07d", p["l"] + 200, p["r"] + 2_000_000)))
     return (area >= 200) & (exchange >= 200), filled(token, "0-9", text)
 
 
@@ -171,11 +180,10 @@ def _date(key: str, token: Column) -> tuple[Column, Column]:
     found = F.when(first, try_date(a, b, c)).when(by_day, day_first).otherwise(month_first)
     n = F.datediff(found, F.lit(FIRST_DAY).cast("date"))
     new = permuted_pair(key, "date", F.floor(n / DAYS[1]), n % DAYS[1], *DAYS)
-    to = F.date_add(F.lit(FIRST_DAY).cast("date"), (new["l"] * DAYS[1] + new["r"]).cast("int"))
-    year, month, day = F.date_format(to, "yyyy"), F.date_format(to, "MM"), F.date_format(to, "dd")
-    sep = F.regexp_extract(token, "[-/.]", 0)
-    text = F.when(first, F.concat_ws("-", year, month, day)).when(by_day, F.concat_ws("-", day, month, year)).otherwise(F.concat_ws("-", month, day, year))
-    return same & found.isNotNull() & (n >= 0) & (n < DAYS[0] * DAYS[1]), F.replace(text, F.lit("-"), sep)
+    to = bound(new, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int")))
+    shaped = lambda d: F.when(first, F.date_format(d, "yyyy-MM-dd")).when(by_day, F.date_format(d, "dd-MM-yyyy")).otherwise(F.date_format(d, "MM-dd-yyyy"))
+    text = F.replace(bound(to, shaped), F.lit("-"), F.regexp_extract(token, "[-/.]", 0))
+    return same & found.isNotNull() & (n >= 0) & (n < DAYS[0] * DAYS[1]), text
 
 
 def _email(key: str, token: Column) -> tuple[Column, Column]:
