@@ -3,7 +3,8 @@ r"""Personal numbers, dates and addresses replaced by pseudonyms of the same for
 A pseudonym is a keyed permutation (Feistel network) of the value inside its format, so equal
 values get equal pseudonyms in all documents and different values different ones:
 
-* payment cards (13 to 19 digits, check digit right): all digits but the first, new check digit
+* payment cards (13 to 19 digits in a row or in the usual groups, check digit right): all digits
+  but the first, new check digit
 * account numbers (two letters, two check digits, right modulo 97): letters and digits after
   the country, new check digits
 * social security numbers (area not 000, 666, 9xx; group not 00; serial not 0000): permuted
@@ -38,7 +39,8 @@ PATTERNS = {
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<!\w)(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])",
     "abroad": r"(?<![\w+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?!\w)",
-    "card": r"(?<![\w+])[0-9](?:[ -]?[0-9]){12,18}(?!\w)",
+    "card": r"(?<![\w+])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2,3} [0-9]{1,4}|[0-9]{4}(?:-[0-9]{4}){2,3}-[0-9]{1,4}"
+    r"|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?!\w)",
 }
 PATTERNS["date"] = PATTERNS["date"].replace(r"([-/.])", "[-/.]").replace(r"\SEP", "[-/.]")
 ANY = "|".join(PATTERNS.values())
