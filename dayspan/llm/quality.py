@@ -133,29 +133,32 @@ def shares(chunk: Scan) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Logistic regression by Adam steps over all rows but every fourth, which calibrate it."""
+    """Logistic regression by Adam steps over all rows but every fourth of a class, which calibrate it."""
     held = np.zeros(len(rows), bool)
     for c in (0, 1):
         held[np.flatnonzero(good == c)[3::4]] = True
-    slots = np.concatenate([r[0] for r in rows])
-    values = np.concatenate([r[1] for r in rows])
-    at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    use = ~held[at]
+    order = np.concatenate([np.flatnonzero(~held), np.flatnonzero(held)])
+    n, good = int((~held).sum()), good[order]
+    size = [len(rows[i][0]) for i in order]
+    slots = np.concatenate([rows[i][0] for i in order])
+    values = np.concatenate([rows[i][1] for i in order])
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    end = sum(size[:n])  # the rows that train come first
+    t_slots, t_values, t_at = slots[:end], values[:end], at[:end]
     w, b = np.zeros(2 * DIMS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    n = int((~held).sum())
     for t in range(1, rounds + 1):
-        s = np.bincount(at, w[slots] * values, len(rows)) + b
-        error = np.where(held, 0, 1 / (1 + np.exp(-s)) - good)
-        g = np.bincount(slots[use], (error[at] * values)[use], 2 * DIMS) / n + DECAY * w
+        s = np.bincount(t_at, w[t_slots] * t_values, n) + b
+        error = 1 / (1 + np.exp(-s)) - good[:n]
+        g = np.bincount(t_slots, error[t_at] * t_values, 2 * DIMS) / n + DECAY * w
         gb = error.sum() / n
         rate = RATE * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * m / (np.sqrt(v) + 1e-6)
         b -= rate * mb / (np.sqrt(vb) + 1e-6)
-    s = np.bincount(at, w[slots] * values, len(rows)) + b
-    slope, shift = platt(s[held], good[held])
+    s = np.bincount(at[end:] - n, w[slots[end:]] * values[end:], len(rows) - n) + b
+    slope, shift = platt(s, good[n:])
     return Model(w, b, slope, shift)
 
 
@@ -181,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """Fits on at most ``per_class`` labelled rows of each class, the first ones by a hash of their id.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and quality. Texts become slot shares in
-    tasks; at most 2 * per_class rows of at most 2 * DIMS slots reach the driver.
+    tasks; one task fits at most 2 * per_class rows of at most 2 * DIMS slots, and only the
+    weights reach the driver.
     """
     one = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     picks = None
@@ -200,11 +204,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), *cells], names=["doc_id", "quality", "slots", "shares"])
 
     made = rows.select("doc_id", F.col("text").cast("string"), "quality").mapInArrow(vectors, "doc_id long, quality int, slots binary, shares binary")
-    found = sorted(made.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["slots"]))
-    good = np.array([r["quality"] for r in found])
-    if min((good == 0).sum(), (good == 1).sum()) < LEAST:
-        return None
-    return fit([(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["shares"], "<f4").astype(np.float64)) for r in found], good)
+
+    def learn(batches):
+        found = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["doc_id"], r["slots"]))
+        good = np.array([r["quality"] for r in found])
+        if min((good == 0).sum(), (good == 1).sum()) >= LEAST:
+            model = fit([(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in found], good)
+            yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "numbers": [[model.bias, model.slope, model.shift]]})
+
+    one = made.repartition(1).mapInArrow(learn, "weights binary, numbers array<double>").first()
+    return Model(np.frombuffer(one["weights"], np.float32), *one["numbers"]) if one else None
 
 
 def judge(docs: DataFrame, text: str, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
