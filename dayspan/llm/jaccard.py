@@ -216,7 +216,7 @@ def tested(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 
 def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, component) of documents (doc_id, text): one row per input row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = shared.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = shared.stored(document_sets(docs, k, percent, frequent(docs, k)), "ngram-sets")
     equal = ["d1", "d2", "n"]
     classes = made.filter("n > 0").groupBy(*equal).agg(F.min("doc_id").alias("node"), F.min_by("prefix", "doc_id").alias("prefix"))

@@ -25,6 +25,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """The table itself; Python functions on it get Arrow batches of at most ``TEXT_ROWS`` rows.
+
+    The usual 10,000 rows are tens of megabytes of text, several times over in each worker.
+    Sets the session's batch size, and only ever lowers it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, other characters as they are."""
     return F.translate(text, UPPER, LOWER)

@@ -39,17 +39,18 @@ def _cuts(docs: DataFrame) -> list[int]:
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) -> DataFrame:
-    """(slice, doc_id, n_tokens, ids, tally): ids as little-endian integers; tally, on the first
-    row of a batch, counts the batch's ids as pairs of 32-bit integers."""
+    """(slice, doc_id, n_tokens, ids, tally): ids as little-endian integers; tally, on one row of a
+    partition, counts the partition's ids as pairs of 64-bit integers."""
     edges = np.array(cuts, np.int64)
 
     def encode(batches):
         from dayspan.llm.tokenizing import encoder
 
         tool = encoder(tokenizer)
+        tally, held = np.zeros(max(tool.size, end_id + 1), np.int64), None
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            tally, cells, sizes = np.zeros(max(tool.size, end_id + 1), np.int64), [], []
+            cells, sizes = [], []
             for _, _, ids, n in tool.encode(texts, end_id):
                 tally += np.bincount(ids, minlength=len(tally))
                 at = np.concatenate([[0], np.cumsum(n)]) * tool.dtype.itemsize
@@ -58,15 +59,19 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) ->
                 sizes.append(n)
             if not cells:
                 continue
-            known = np.flatnonzero(tally)
-            pairs = np.stack([known, tally[known]], 1).astype("<u4").tobytes()
+            if held:
+                yield held
             number = keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
+            held = pa.RecordBatch.from_arrays(
                 [pa.array(np.searchsorted(edges, number, "right"), pa.int32()), keys, pa.array(np.concatenate(sizes), pa.int64()),
-                 pa.array(cells, pa.binary()), pa.array([pairs] + [None] * (len(cells) - 1), pa.binary())],
+                 pa.array(cells, pa.binary()), pa.nulls(len(cells), pa.binary())],
                 names=["slice", "doc_id", "n_tokens", "ids", "tally"])
+        if held:
+            known = np.flatnonzero(tally)
+            pairs = np.stack([known, tally[known]], 1).astype("<u8").tobytes()
+            yield held.set_column(4, "tally", pa.array([pairs] + [None] * (held.num_rows - 1), pa.binary()))
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = shared.text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(encode, "slice int, doc_id long, n_tokens long, ids binary, tally binary")
 
 
@@ -77,7 +82,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
         total: dict[int, int] = {}
         for batch in batches:
             for cell in batch.column(0).to_pylist():
-                for i, n in np.frombuffer(cell, "<u4").reshape(-1, 2).tolist():
+                for i, n in np.frombuffer(cell, "<u8").reshape(-1, 2).tolist():
                     total[i] = total.get(i, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
 
