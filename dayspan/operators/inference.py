@@ -77,27 +77,31 @@ def _moments(df: DataFrame, label: str, col: str):
 
 
 def welch_t(df: DataFrame, label: str, col: str) -> DataFrame:
-    """Welch's t for every pair of groups. Pairs are of group moments, one row per cluster."""
+    """Welch's t for every pair of groups, null for a group of under two values or a pair without spread.
+
+    Pairs are of group moments, one row per cluster.
+    """
     rows = []
     for a, b in combinations(_moments(df, label, col), 2):
-        if min(a["n"], b["n"]) < 2:
+        names = (str(a[label]), str(b[label]), a["n"], b["n"])
+        if min(a["n"], b["n"]) < 2 or a["v"] + b["v"] == 0:
+            rows.append((*names, None, None, None))
             continue
         va, vb = a["v"] / a["n"], b["v"] / b["n"]
-        if va + vb == 0:
-            continue
         t = (a["m"] - b["m"]) / math.sqrt(va + vb)
         dof = (va + vb) ** 2 / (va**2 / (a["n"] - 1) + vb**2 / (b["n"] - 1))
-        rows.append((str(a[label]), str(b[label]), a["n"], b["n"], t, dof, t_two_sided(t, dof)))
+        rows.append((*names, t, dof, t_two_sided(t, dof)))
     return df.sparkSession.createDataFrame(
         rows, "group_a string, group_b string, n_a long, n_b long, t double, dof double, p_value double"
     )
 
 
 def cohens_d(df: DataFrame, label: str, col: str) -> DataFrame:
-    """Mean difference in units of the pooled SD for every pair of groups."""
+    """Mean difference in units of the pooled SD for every pair of groups, null for a group of under two values."""
     rows = []
     for a, b in combinations(_moments(df, label, col), 2):
         if min(a["n"], b["n"]) < 2:
+            rows.append((str(a[label]), str(b[label]), None, None))
             continue
         pooled = math.sqrt(((a["n"] - 1) * a["v"] + (b["n"] - 1) * b["v"]) / (a["n"] + b["n"] - 2))
         rows.append((str(a[label]), str(b[label]), pooled, (a["m"] - b["m"]) / pooled if pooled else None))

@@ -310,7 +310,7 @@ def walk_forward(df: DataFrame, cols: Sequence[str], target: str, day: str = "da
     """One-step predictions: for each late day a forest fitted on all earlier rows.
 
     Steps are distinct days, a number bounded by the study; fits and predictions
-    are distributed. Returns (keep, day, y, prediction).
+    are distributed. Returns (keep, day, y, prediction); a day with nothing before it has no prediction.
     """
     rows = cut_lineage(assemble(df.filter(F.col(target).isNotNull()), cols, [*keep, day, F.col(target).cast("double").alias("y")]))
     days = [r[0] for r in rows.select(day).distinct().orderBy(day).collect()]
@@ -318,10 +318,11 @@ def walk_forward(df: DataFrame, cols: Sequence[str], target: str, day: str = "da
     out = None
     for d in late:
         past = rows.filter(F.col(day) < d)
+        today = rows.filter(F.col(day) == d)
         if past.isEmpty():
-            continue
-        model = forest(trees=trees, depth=depth).fit(past)
-        step = model.transform(rows.filter(F.col(day) == d)).select(*keep, day, "y", "prediction")
+            step = today.select(*keep, day, "y", F.lit(None).cast("double").alias("prediction"))
+        else:
+            step = forest(trees=trees, depth=depth).fit(past).transform(today).select(*keep, day, "y", "prediction")
         out = step if out is None else out.unionByName(step)
     if out is None:
         return rows.select(*keep, day, "y", F.lit(None).cast("double").alias("prediction")).filter(F.lit(False))

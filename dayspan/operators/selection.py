@@ -43,15 +43,16 @@ def collinear_drops(df: DataFrame, target: str, cols: Sequence[str], threshold:
     return judged.select(loser.alias("variable")).distinct()
 
 
-def poisson_weight(u, rate: float, top: int = 8):
-    """Poisson draw from a uniform number: how often a row enters one bootstrap."""
+def poisson_weight(u, rate: float, bits: int = 30):
+    """Poisson draw from a uniform number of ``bits`` bits: how often a row enters one bootstrap."""
     import math
 
-    total, expr = 0.0, None
-    for k in range(top):
+    total, expr, k = 0.0, None, 0
+    while 1 - total > 2.0**-bits:
         total += math.exp(-rate) * rate**k / math.factorial(k)
         expr = F.when(u < total, k) if expr is None else expr.when(u < total, k)
-    return expr.otherwise(top).cast("double")
+        k += 1
+    return expr.otherwise(k).cast("double")
 
 
 def stability_select(

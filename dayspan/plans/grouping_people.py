@@ -13,7 +13,7 @@ from dayspan.plans import inputs as inp
 from dayspan.plans.base import query
 from dayspan.plans.structure import _filled
 
-WEEKS = (0, 1, 2, 3)
+WEEKS = (0, 1, 2, 3, 4)
 W = [f"w{w}" for w in WEEKS]
 # Activity per week: number of recorded events, complete for most persons.
 _SERIES = (
@@ -36,6 +36,7 @@ def series(spark, sf):
 
 _SQ = " + ".join(f"(a.{w} - b.{w}) ** 2" for w in W)
 EPS = 4.0
+LAST = f"c{len(W) - 1}{len(W) - 1}"  # the last cell of the warping table
 
 
 @query("pair_euclid", f"WITH {_SERIES} SELECT a.id AS id_a, b.id AS id_b, round(sqrt({_SQ}), 6) AS d FROM v a JOIN v b ON a.id < b.id WHERE sqrt({_SQ}) <= {EPS}")
@@ -53,7 +54,7 @@ def _dtw_sql() -> str:
     return f"SELECT a.id AS id_a, b.id AS id_b, {', '.join(cells)} FROM v a JOIN v b ON a.id < b.id"
 
 
-@query("pair_dtw", f"WITH {_SERIES}, t AS ({_dtw_sql()}) SELECT id_a, id_b, round(c33, 6) AS d FROM t WHERE c33 <= {EPS}")
+@query("pair_dtw", f"WITH {_SERIES}, t AS ({_dtw_sql()}) SELECT id_a, id_b, round({LAST}, 6) AS d FROM t WHERE {LAST} <= {EPS}")
 def pair_dtw(spark, sf):
     return inp.rounded(di.radius_pairs(series(spark, sf), "num_id", W, EPS, "dtw"), ["d"])
 
@@ -70,10 +71,10 @@ def mds_embed(spark, sf):
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf):
-    return cl.kmeans_sweep(inp.vectors(spark, sf), [f"x{i}" for i in range(1, 9)], (1, 2, 3, 5), inits=1)
+    return cl.kmeans_sweep(inp.vectors(spark, sf), [f"x{i}" for i in range(1, inp.WIDTH + 1)], range(1, 11))
 
 
-_X = [f"x{i}" for i in range(1, 9)]
+_X = [f"x{i}" for i in range(1, inp.WIDTH + 1)]
 _VSQ = " + ".join(f"(a.{x} - b.{x}) ** 2" for x in _X)
 _CEN = ", ".join(f"avg({x}) AS {x}" for x in _X)
 _SIL = (
@@ -107,7 +108,7 @@ _HEAD = f"WITH RECURSIVE {_SERIES}, t AS ({_dtw_sql()})"
 def _density(eps: float) -> str:
     """Labels of all persons at one radius: neighbours, core points, reachable core points, borders."""
     return (
-        f"near AS (SELECT id_a AS p, id_b AS q FROM t WHERE c33 <= {eps} UNION ALL SELECT id_b, id_a FROM t WHERE c33 <= {eps}), "
+        f"near AS (SELECT id_a AS p, id_b AS q FROM t WHERE {LAST} <= {eps} UNION ALL SELECT id_b, id_a FROM t WHERE {LAST} <= {eps}), "
         "core AS (SELECT v.id FROM v LEFT JOIN (SELECT p, sum(w.copies) AS m FROM near JOIN v w ON w.id = q GROUP BY 1) n ON n.p = v.id WHERE v.copies + coalesce(m, 0) >= 10), "
         "link AS (SELECT p, q FROM near WHERE p IN (FROM core) AND q IN (FROM core)), "
         "walk AS (SELECT id, id AS root FROM core UNION SELECT link.q, walk.root FROM walk JOIN link ON link.p = walk.id), "
@@ -174,7 +175,7 @@ def cluster_person_networks(spark, sf):
 def cluster_trajectory(spark, sf):
     """Weekly mean line of each k-means cluster of the week vectors."""
     s = series(spark, sf).na.drop("any", subset=W)
-    labelled, _ = cl.kmeans_labels(s, W, 3, inits=1)
+    labelled, _ = cl.kmeans_labels(s, W, 3)
     long = labelled.unpivot(["num_id", "cluster"], W, "week", "x")
     return ag.group_stats(long, ["cluster", "week"], "x")
 
@@ -184,10 +185,13 @@ def cluster_sizes(spark, sf):
     return inp.line_numbers(spark, sf).groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+NAMES = ("quiet", "early", "late", "steady", "rising", "falling", "weekend", "bursty", "mixed", "busy")
+
+
 @query(
     "cluster_names",
-    "SELECT vec_id, CASE label WHEN 0 THEN 'low' WHEN 1 THEN 'middle' WHEN 2 THEN 'high' END AS name FROM embeddings",
+    "SELECT vec_id, CASE label " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END AS name FROM embeddings",
 )
 def cluster_names(spark, sf):
-    names = spark.createDataFrame([(0, "low"), (1, "middle"), (2, "high")], "label long, name string")
+    names = spark.createDataFrame(list(enumerate(NAMES)), "label long, name string")
     return inp.vectors(spark, sf).select("vec_id", "label").join(merge.small_side(names, 1000), "label", "left").select("vec_id", "name")

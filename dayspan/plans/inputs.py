@@ -75,7 +75,11 @@ def line_numbers(spark: SparkSession, sf: str) -> DataFrame:
 LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-def vectors(spark: SparkSession, sf: str, width: int = 8) -> DataFrame:
+# Positions of an embedding.
+WIDTH = 64
+
+
+def vectors(spark: SparkSession, sf: str, width: int = WIDTH) -> DataFrame:
     """Embedding positions 1..width as double columns x1.."""
     e = table(spark, sf, "embeddings")
     return e.select(
@@ -127,7 +131,7 @@ SQL_DEMO = (
 )
 SQL_VEC = (
     "vec AS (SELECT vec_id, CAST(label AS BIGINT) AS label, "
-    + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS x{i}" for i in range(1, 9))
+    + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS x{i}" for i in range(1, WIDTH + 1))
     + " FROM embeddings)"
 )
 

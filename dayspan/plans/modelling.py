@@ -140,7 +140,7 @@ def compare_classifiers(spark, sf):
     return mo.compare({"sensors": rows}, mo.classifiers(iterations=5, trees=10), 3, classify=True)
 
 
-_VSQ = " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(1, 9))
+_VSQ = " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(1, inp.WIDTH + 1))
 _TEST = f"{inp.SQL_VEC}, p AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('vec_id')}, vec_id) AS pos, count(*) OVER () AS n FROM vec)"
 
 
@@ -153,7 +153,7 @@ _TEST = f"{inp.SQL_VEC}, p AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('
 )
 def knn_classify(spark, sf):
     v = splits.row_split3(inp.vectors(spark, sf), "vec_id", 0.15, 0.0)
-    return neighbours.knn_classify(v.filter("split != 'test'"), v.filter("split = 'test'"), "vec_id", [f"x{i}" for i in range(1, 9)], "label")
+    return neighbours.knn_classify(v.filter("split != 'test'"), v.filter("split = 'test'"), "vec_id", [f"x{i}" for i in range(1, inp.WIDTH + 1)], "label")
 
 
 @query("linear_svc")

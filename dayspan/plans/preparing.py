@@ -196,27 +196,24 @@ def known_panel(spark, sf):
     return p.select("num_id", "dt", (F.col("num_id") * 100000 + F.datediff("dt", F.lit("2000-01-01"))).alias("cell_row"), *[F.col(f"{c}_int").alias(c) for c in inp.FEATURES])
 
 
-_SMALL = {"rounds": 1, "trees": 10, "depth": 4}
-
-
 @query("rf_impute")
 def rf_impute(spark, sf):
-    return impute.impute_table(known_panel(spark, sf), "cell_row", inp.FEATURES, 0.5, -1.0, **_SMALL)[0]
+    return impute.impute_table(known_panel(spark, sf), "cell_row", inp.FEATURES, 0.5)[0]
 
 
 @query("rf_impute_by_person")
 def rf_impute_by_person(spark, sf):
-    return impute.impute_by_person(known_panel(spark, sf), "cell_row", inp.FEATURES, share=0.5, r2_limit=0.0, **_SMALL)[0]
+    return impute.impute_by_person(known_panel(spark, sf), "cell_row", inp.FEATURES, share=0.5)[0]
 
 
 @query("rf_impute_by_column")
 def rf_impute_by_column(spark, sf):
-    return impute.impute_by_column(known_panel(spark, sf), "cell_row", ["view", "click"], 0.6, -1.0, **_SMALL)[0]
+    return impute.impute_by_column(known_panel(spark, sf), "cell_row", inp.FEATURES, 0.6)[0]
 
 
 @query("impute_ledger")
 def impute_ledger(spark, sf):
-    return impute.impute_by_person(known_panel(spark, sf), "cell_row", inp.FEATURES, share=0.5, r2_limit=0.0, **_SMALL)[1]
+    return impute.impute_by_person(known_panel(spark, sf), "cell_row", inp.FEATURES, share=0.5)[1]
 
 
 @query("fill_zero", f"WITH {inp.SQL_DAY} SELECT num_id, dt, " + ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in inp.FEATURES) + " FROM panel")

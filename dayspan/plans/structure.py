@@ -181,7 +181,7 @@ def pca_model(spark, sf):
 
 @query("pca2_projection")
 def pca2_projection(spark, sf):
-    return reduction.project(inp.vectors(spark, sf), [f"x{i}" for i in range(1, 9)], ["vec_id", "label"], 2)
+    return reduction.project(inp.vectors(spark, sf), [f"x{i}" for i in range(1, inp.WIDTH + 1)], ["vec_id", "label"], 2)
 
 
 @query("keep_from_group", f"WITH {inp.SQL_DAY} SELECT num_id, dt, round(click, 6) AS click, round(purchase, 6) AS purchase FROM panel")

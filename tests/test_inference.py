@@ -42,9 +42,12 @@ def test_kruskal_with_ties(spark):
     assert abs(got["h"] - h) < 1e-9 and got["groups"] == 4
 
 
-def test_tests_skip_groups_of_one(spark):
+def test_pairs_with_a_group_of_one_have_no_statistic(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 4.0), ("b", 7.0), ("c", 1.0)], "g string, x double")
-    assert [(r["group_a"], r["group_b"]) for r in st.welch_t(df, "g", "x").collect()] == [("a", "b")]
+    got = {(r["group_a"], r["group_b"]): r["t"] for r in st.welch_t(df, "g", "x").collect()}
+    assert [k for k, t in got.items() if t is not None] == [("a", "b")] and set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    thin = [r for r in st.cohens_d(df, "g", "x").collect() if "c" in (r["group_a"], r["group_b"])]
+    assert len(thin) == 2 and all(r["d"] is None for r in thin)
     assert abs(st.cohens_d(df, "g", "x").first()["d"] - (-4 / math.sqrt((0.5 + 4.5) / 2))) < 1e-12
 
 
@@ -59,8 +62,7 @@ def test_person_correlation_edges(spark):
     assert full.filter("num_id = 1").count() == 9
 
 
-def test_many_columns_are_chunked(spark, monkeypatch):
-    monkeypatch.setattr(co, "PAIRS_PER_AGG", 4)
+def test_all_pairs_of_many_columns(spark):
     x = np.random.default_rng(2).normal(size=(50, 6))
     cols = [f"c{i}" for i in range(6)]
     df = spark.createDataFrame(pd.DataFrame(x, columns=cols))
