@@ -3,10 +3,11 @@
 A page becomes a tree of elements; scripts, styles, forms, navigation, headers, footers,
 sidebars, notices, adverts and reader comments (by element, role, or whole words of class and
 id) are left out of it. Each node has its characters per tag, adjusted for characters and tags
-in links, and the sum of its children's densities. The node with the largest sum is the article;
-the least density on the path from it to the body is the threshold that any further part
-beside that path must reach to belong to the text as well: a paragraph, list, table or
-heading, or a container of such; bare text in a box of its own does not.
+in links, and the sum of its children's densities. The node with the largest sum is the article,
+or the nearest <article> or <main> around it; the least density on the path from it to the body
+is the threshold that any further part outside it must reach to belong to the text as well,
+at whatever depth: a paragraph, list, table or heading, or a container of such (also another
+<article>); bare text in a box of its own does not.
 
 The text of the chosen subtrees is cut into blocks: white space in a block is one space,
 line breaks are white space, blocks are joined by a line feed in page order. A null, empty
@@ -235,7 +236,7 @@ def article_nodes(root: Node) -> list[Node]:
     while at is not None:
         limit = min(limit, at.density)
         at = at.parent
-    if top is root or top.tag in ("article", "main"):
+    if top is root:
         return [top]
     chosen, path, at = [top], set(), top
     while at is not None:
@@ -245,12 +246,13 @@ def article_nodes(root: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         for p in node.parts:
-            if isinstance(p, Node) and p.tag in BLOCK:
-                if id(p) in path:
-                    if p is not top:
-                        stack.append(p)
-                elif p.density >= limit and p.link_chars * 2 < p.chars and (p.tag in OWN_TEXT or any(isinstance(x, Node) and x.tag in BLOCK for x in p.parts)):
-                    chosen.append(p)
+            if not isinstance(p, Node) or p is top:
+                continue
+            if id(p) not in path and p.tag in BLOCK and p.density >= limit and p.link_chars * 2 < p.chars and (
+                    p.tag in OWN_TEXT or any(isinstance(x, Node) and x.tag in BLOCK for x in p.parts)):
+                chosen.append(p)
+            else:  # a part that reaches the threshold may lie in one that does not
+                stack.append(p)
     place = {id(n): i for i, n in enumerate(_depth_first(root))}
     return sorted(chosen, key=lambda n: place[id(n)])
 

@@ -32,6 +32,25 @@ def test_odd_pages():
     assert page("<article><p>" + "word " * 50_000 + "</p></article>") == ("word " * 50_000).strip()
 
 
+def paragraphs(name, n=4):
+    return [f"Paragraph {i} of the {name} part tells its readers something of some length, so that its density counts." for i in range(n)]
+
+
+def marked(rows):
+    return "".join(f"<p>{r}</p>" for r in rows)
+
+
+def test_threshold_decides_beside_an_article():
+    one, two, lede = paragraphs("first"), paragraphs("second", 5), "A lede that stands before the article and is itself as long as one of the paragraphs that follow it."
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Another page of this site, number {i}</a></li>" for i in range(9)) + "</ul>"
+    whole = "\n".join([lede, *one, *two])
+    for tag in ("article", "div", "section"):
+        a, b = f"<{tag}>{marked(one)}</{tag}>", f"<{tag}>{marked(two)}</{tag}>"
+        assert html_text.main_text(f"<body><p>{lede}</p>{a}{b}{links}<p>Short</p></body>") == whole
+        assert html_text.main_text(f"<body><x-page><p>{lede}</p>{a}<div>{b}{links}</div></x-page>{links}</body>") == whole
+    assert html_text.main_text(f"<body>{links}<main>{marked(one)}</main><p>Short</p></body>") == "\n".join(one)
+
+
 def test_whole_table_against_markup(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.row.page_id: (r.text, r.n_chars) for r in html_text.extract(pages, "html").collect()}
