@@ -1,8 +1,12 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements; scripts, styles, forms, navigation, headers, footers,
-sidebars, notices, adverts and reader comments (by element, role, or whole words of class and
-id) are left out of it. Each node has its characters per tag, adjusted for characters and tags
+A page becomes a tree of elements; scripts, styles, forms, navigation, headers, footers and
+asides (by element or role) and hidden parts are left out of it. Whole words of class and id
+name further sidebars, notices, adverts and reader comments. A named part is left out if its
+share of the page's text bears the name out: never if it holds most of the characters outside
+links (but for bare text in a box of its own beside an <article> or <main>), nor if all parts
+of that word together do. "no-sidebar" or "has-toc" name nothing, and
+a page header is named only where links prevail in it. Each node has its characters per tag, adjusted for characters and tags
 in links, and the sum of its children's densities. The node with the largest sum is the article,
 or the nearest <article> or <main> around it; the least density on the path from it to the body
 is the threshold that any further part outside it must reach to belong to the text as well,
@@ -42,7 +46,7 @@ SCOPE = {
     "li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select",),
     "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",), "thead": ("table",),
 }
-# Parts of a page that are not its article.
+# Parts of a page that are not its article; OUT_WORDS and HEADERS only where the part's text agrees.
 OUT_TAGS = frozenset(
     "head script style noscript template nav header footer aside form menu iframe object embed applet canvas svg math video audio picture"
     " button select textarea input dialog search datalist".split())
@@ -54,6 +58,9 @@ OUT_WORDS = frozenset(
     " signup login share sharing social related recommended recommendations widget widgets toc skip copyright".split())
 OWN_TEXT = frozenset("p li ul ol dl dd dt blockquote table caption tbody thead tfoot tr td th pre h1 h2 h3 h4 h5 h6 figure figcaption".split())
 HEADERS = frozenset(("header", "site-header", "page-header", "siteheader", "pageheader"))
+LINKED = frozenset(("page-header", "pageheader"))  # these may hold the title
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+MODIFIERS = frozenset("no not non has with without".split())  # what follows them tells of the page, not of the part
 
 _markup = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _attribute = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -61,10 +68,14 @@ _word = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "words")
 
-    def __init__(self, tag: str, parent: "Node | None"):
-        self.tag, self.parent, self.parts = tag, parent, []
+    def __init__(self, tag: str, parent: "Node | None", words: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.parts, self.words = tag, parent, [], words
+
+
+def _values(attributes: str) -> dict[str, str]:
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _attribute.finditer(attributes)}
 
 
 def _left_out(tag: str, attributes: str) -> bool:
@@ -74,19 +85,33 @@ def _left_out(tag: str, attributes: str) -> bool:
         return False
     if tag in ("html", "body", "article", "main"):
         return False
-    values = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _attribute.finditer(attributes)}
+    values = _values(attributes)
     if values.get("role") in OUT_ROLES or values.get("aria-hidden") == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _attribute.sub(" ", attributes)):
-        return True
-    names = f"{values.get('class', '')} {values.get('id', '')}"
-    return any(w in OUT_WORDS for w in _word.findall(names)) or any(w in HEADERS for w in names.split())
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _attribute.sub(" ", attributes)))
+
+
+def _words(tag: str, attributes: str) -> frozenset[str]:
+    """Words of class and id that may name a part beside the article."""
+    if "=" not in attributes or tag in ("html", "body", "article", "main"):
+        return frozenset()
+    values, found = _values(attributes), set()
+    for name in f"{values.get('class', '')} {values.get('id', '')}".split():
+        if name in HEADERS and tag not in HEADINGS:
+            found.add(name)
+        for w in _word.findall(name):
+            if w in MODIFIERS:
+                break
+            if w in OUT_WORDS:
+                found.add(w)
+    return frozenset(found)
 
 
 def parse(page: str) -> Node:
     """The body's tree without the parts that are left out."""
     root = node = Node("body", None)
     depth_out: list[str] = []  # open elements inside a part that is left out
+    named = False
 
     def text(data: str) -> None:
         if data and not depth_out:
@@ -167,13 +192,52 @@ def parse(page: str) -> Node:
                 depth_out.append(tag)
             node.parts.append(Node("#gap" if tag in BLOCK or tag == "dialog" else "#cut", node))
             continue
-        child = Node(tag, node)
+        child = Node(tag, node, _words(tag, m[3]))
+        named = named or bool(child.words)
         node.parts.append(child)
         if not own_end:
             node = child
+    if named:
+        leave_out(root)
     return root
 
 
+def _bare_box(node: Node) -> bool:
+    """A block beside every article or main element that holds bare text and no further block."""
+    if node.tag not in BLOCK or node.tag in OWN_TEXT or any(n.tag in BLOCK for n in _ordered(node)[1:]):
+        return False
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is None
+
+
+def leave_out(root: Node) -> None:
+    """Cuts the named parts whose share of the page's text bears their name out."""
+    nodes = count(root)
+    most = (root.chars - root.link_chars) / 2
+    marked = any(n.tag in ("article", "main") and n.chars for n in nodes)
+    held: dict[str, int] = {}  # characters outside links below each word, parts that hold most of the page not counted
+    above = {id(root): root.words}
+    for n in nodes[1:]:
+        own, outer = n.chars - n.link_chars, above[id(n.parent)]
+        small = n.words if own <= most and not (marked and _bare_box(n)) else frozenset()
+        above[id(n)] = outer | small if small else outer
+        for w in small - outer:
+            held[w] = held.get(w, 0) + own
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for i, n in enumerate(node.parts):
+            if not isinstance(n, Node):
+                continue
+            own, linked = n.chars - n.link_chars, n.link_chars * 2 >= n.chars
+            out = bool(n.words - LINKED) and marked and _bare_box(n)
+            if out or own <= most and any(linked or (w not in LINKED and held.get(w, 0) <= most) for w in n.words):
+                node.parts[i] = Node("#gap" if n.tag in BLOCK else "#cut", node)
+            else:
+                stack.append(n)
+
+
 def _ordered(root: Node) -> list[Node]:
     """All nodes, parents first."""
     out = [root]
@@ -182,8 +246,8 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    """Sets counts, densities and density sums of all nodes; parents first."""
+def count(root: Node) -> list[Node]:
+    """Sets characters and tags of all nodes; parents first."""
     nodes = _ordered(root)
     for node in reversed(nodes):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
@@ -197,6 +261,12 @@ def measure(root: Node) -> list[Node]:
                 node.link_tags += p.link_tags + (p.tag == "a")
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags
+    return nodes
+
+
+def measure(root: Node) -> list[Node]:
+    """Sets counts, densities and density sums of all nodes; parents first."""
+    nodes = count(root)
     share = root.link_chars / max(1, root.chars)
     for node in reversed(nodes):
         c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, node.link_tags

@@ -51,6 +51,23 @@ def test_threshold_decides_beside_an_article():
     assert html_text.main_text(f"<body>{links}<main>{marked(one)}</main><p>Short</p></body>") == "\n".join(one)
 
 
+def test_names_never_remove_most_of_the_text():
+    rows, page = paragraphs("main", 6), html_text.main_text
+    side = '<div class="sidebar"><p>Text of the side part.</p></div><div class="cookie-notice"><p>We use cookies here.</p></div>'
+    for name in ("content with-sidebar", "no-sidebar", "has-toc", "post social-share", "sidebar-layout", "widget", "comments"):
+        for tag in ("div", "section"):
+            assert page(f'<body><{tag} class="{name}"><h1 class="page-header">Title</h1>{marked(rows)}{side}</{tag}></body>') == "\n".join(["Title", *rows]), name
+            assert page(f'<body>{side}<article><{tag} id="{name}">{marked(rows)}</{tag}></article></body>') == "\n".join(rows), name
+    parts = "".join(f'<div class="x-widget x-widget-text"><p>{r}</p></div>' for r in rows)
+    assert page(f"<body><div>{parts}{side}</div></body>") == "\n".join(rows)
+    assert page(f'<body><div><div class="page-header"><h1>Title</h1></div>{marked(rows)}</div></body>') == "\n".join(["Title", *rows])
+    assert page(f'<body><div class="post"><div class="has-toc"><p>{rows[0]}</p></div>{marked(rows[1:])}</div></body>') == "\n".join(rows)
+    assert page('<body><div class="ad">An advert that is longer than the article.</div><div class="ad">And one more of those.</div><article><p>Few words.</p></article></body>') == "Few words."
+    links = '<div class="{}"><a href=/a>One page</a> <a href=/b>Another page</a></div>'
+    for name in ("page-header", "header", "social-share", "nav"):
+        assert page(f"<body><article>{links.format(name)}{marked(rows)}</article></body>") == "\n".join(rows)
+
+
 def test_whole_table_against_markup(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.row.page_id: (r.text, r.n_chars) for r in html_text.extract(pages, "html").collect()}
