@@ -3,17 +3,18 @@ r"""Personal numbers, dates and addresses replaced by pseudonyms of the same for
 A pseudonym is a keyed permutation (Feistel network) of the value inside its format, so equal
 values get equal pseudonyms in all documents and different values different ones:
 
-* payment cards (13 to 19 digits in a row or in the usual groups, check digit right): all digits
-  but the first, new check digit
-* account numbers (two letters, two check digits, right modulo 97): letters and digits after
-  the country, new check digits
+* payment cards (13 to 19 digits, single blanks or hyphens between any of them, check digit right;
+  within a longer row of digits or in unusual groups also an issuer's first digits and length):
+  all digits but the first, new check digit
+* account numbers (two letters, two check digits, as long as the country's are, right modulo 97):
+  letters and digits after the country, new check digits
 * social security numbers (area not 000, 666, 9xx; group not 00; serial not 0000): permuted
   among the valid ones
 * telephone numbers: national ones of the form (ddd) ddd-dddd with area and exchange from 200 on,
   permuted among those; international ones from ``+``, 8 to 15 digits, all but the first two
 * addresses of four numbers up to 255: permuted among those
 * calendar dates from 1900-01-01 on for 73,000 days, year first or last, days before months if
-  only that is a date or the separator is a dot: permuted among those days
+  only that is a date or the separator is a dot, also before a time: permuted among those days
 * e-mail addresses, in lower case: letters and digits of the local part
 
 Whatever does not pass its check stays as it is, as does all other text. The separators of a value
@@ -30,20 +31,35 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)
+# Signs of an account number by country (ISO 13616).
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+ACCOUNTS = "|".join(f"(?:{'|'.join(lands.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, lands in LENGTHS.items())
 # Patterns of candidates, tried in this order at each place. Fixed values.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{ACCOUNTS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
-    "date": r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\SEP[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\SEP[0-9]{4})(?!\w|[-/.][0-9])",
+    "date": r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\SEP[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\SEP[0-9]{4})(?!(?!T[0-9]{2})\w|[-/.][0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<!\w)(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])",
     "abroad": r"(?<![\w+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?!\w)",
-    "card": r"(?<![\w+])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2,3} [0-9]{1,4}|[0-9]{4}(?:-[0-9]{4}){2,3}-[0-9]{1,4}"
-    r"|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?!\w)",
 }
 PATTERNS["date"] = PATTERNS["date"].replace(r"([-/.])", "[-/.]").replace(r"\SEP", "[-/.]")
-ANY = "|".join(PATTERNS.values())
+# Groups of digits, one by one: the first of 13 digits or more that at most single blanks or hyphens part, and what
+# goes on from the match before, unless another value begins there.
+GROUP = (r"(?:\G[ -](?!" + "|".join(PATTERNS[k] for k in ("email", "ip", "date", "ssn", "phone"))
+         + r")|(?<![\w+])(?=[0-9](?:[ -]?[0-9]){12}))[0-9]++(?!\w)")
+ANY = "|".join([*PATTERNS.values(), GROUP])
+# Usual groups of a card, and first digits and lengths of the issuers (ISO 7812).
+USUAL = "^(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){2,3}|[0-9]{4}(?:[ -][0-9]{4}){2,3}[ -][0-9]{1,3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+ISSUERS = (
+    "^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}"
+    "|3(?:0[0-59]|[689][0-9])[0-9]{11,16}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|(?:5[06-8]|6[0-9])[0-9]{11,17})$")
+LONGEST, SHORTEST = 19, 13  # digits of a card
 
 
 def bound(value: Column, use) -> Column:
@@ -124,12 +140,55 @@ def mod97(signs: Column) -> Column:
     return F.aggregate(F.filter(F.split(moved, ""), lambda x: x != ""), F.lit(0), step)
 
 
-def _card(key: str, token: Column) -> tuple[Column, Column]:
+def _card(key: str, token: Column) -> Column:
     d = digits_of(token)
     n = F.length(d)
     body = F.concat(F.substring(d, F.lit(1), F.lit(1)), permuted_signs(key, "card", F.substring(d, F.lit(2), n - 2)))
     new = bound(body, lambda b: F.concat(b, ((10 - luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
-    return (luhn(d) % 10 == 0) & F.regexp_like(d, F.lit("[1-9]")), filled(token, "0-9", new)
+    return filled(token, "0-9", new)
+
+
+def _is_group(token: Column) -> Column:
+    return F.regexp_like(token, F.lit("^[ -]?[0-9]+$"))
+
+
+def chained(hits: Column) -> Column:
+    """Groups of digits with a bar before each that begins a row of groups; a bar for other hits."""
+    return F.transform(hits, lambda x, i: F.when(~_is_group(x), "|").when(
+        F.regexp_like(x, F.lit("^[ -]")) & (i > 0) & F.coalesce(_is_group(F.get(hits, i - 1)), F.lit(False)), x).otherwise(F.concat(F.lit("|"), x)))
+
+
+def cards(key: str, hits: Column, chain: Column) -> Column:
+    """(i, n, text) of the cards in rows of groups: first group, groups, pseudonym.
+
+    From each group on, the longest number that passes is taken, one in usual groups before others.
+    One group, or usual groups from the start of a row, need the check digit; any other part of a
+    row needs an issuer's first digits and length as well.
+    """
+
+    def best(at: Column, i: Column) -> Column:
+        row = F.regexp_replace(F.concat_ws("", F.slice(chain, i + 1, LONGEST)), r"^\|?[ -]?", "")
+        first = F.startswith(at, F.lit("|"))
+
+        def judged(text: Column) -> Column:
+            usual = F.regexp_like(text, F.lit(USUAL))
+            shaped = F.regexp_like(text, F.lit("^[0-9]+$")) | (usual & first) | F.regexp_like(digits_of(text), F.lit(ISSUERS))
+            good = (text != "") & shaped & F.regexp_like(text, F.lit("[1-9]")) & (luhn(digits_of(text)) % 10 == 0)
+            return F.when(good, F.struct(i.alias("i"), (F.length(F.regexp_replace(text, "[0-9]", "")) + 1).alias("n"), text.alias("text"), usual.alias("usual")))
+
+        found = bound(row, lambda row: F.when(F.length(row) >= SHORTEST, F.filter(F.transform(F.array(*tries_of(row)), judged), lambda w: w.isNotNull())))
+        return bound(found, lambda ws: F.coalesce(F.get(F.filter(ws, lambda w: w["usual"]), 0), F.get(ws, 0)))
+
+    def tries_of(row: Column) -> list[Column]:
+        return [F.regexp_extract(row, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(LONGEST, SHORTEST - 1, -1)]
+
+    def chosen(all_of: Column) -> Column:
+        apart = lambda a, w: (a["i"] >= w["i"] + w["n"]) | (w["i"] >= a["i"] + a["n"])
+        order = F.concat(F.filter(all_of, lambda w: w["usual"]), F.filter(all_of, lambda w: ~w["usual"]))
+        return F.aggregate(order, F.filter(all_of, lambda w: F.lit(False)), lambda acc, w: F.when(F.forall(acc, lambda a: apart(a, w)), F.concat(acc, F.array(w))).otherwise(acc))
+
+    found = F.filter(F.transform(chain, lambda c, i: F.when(F.length(c) > 1, best(c, i))), lambda w: w.isNotNull())
+    return F.transform(bound(found, chosen), lambda w: F.struct(w["i"].alias("i"), w["n"].alias("n"), _card(key, w["text"]).alias("text")))
 
 
 def _iban(key: str, token: Column) -> tuple[Column, Column]:
@@ -193,7 +252,7 @@ def _email(key: str, token: Column) -> tuple[Column, Column]:
     return F.lit(True), F.concat(permuted_signs(key, "email", F.substring_index(token, "@", 1)), F.lit("@"), F.substring_index(token, "@", -1))
 
 
-KINDS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "card": _card}
+KINDS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "abroad": _abroad}
 
 
 def replacement(key: str, token: Column) -> Column:
@@ -213,7 +272,22 @@ def pseudonymised(docs: DataFrame, text: str, key: str) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"))
     hits = F.when(F.regexp_like(body, F.lit("[0-9@]")), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
     rows = rows.select("row", hits.alias("hits"))
-    rows = rows.select("row", F.transform("hits", lambda t: replacement(key, t)).alias("new"))
+    rows = rows.select("row", "hits", chained(F.col("hits")).alias("chain"))
+    rows = rows.select("row", "hits", F.when(F.exists("chain", lambda c: F.length(c) > 1), cards(key, F.col("hits"), F.col("chain"))).alias("cards"))
+
+    def new(found: Column) -> Column:
+        def piece(token: Column, i: Column) -> Column:
+            def woven(card: Column) -> Column:
+                lead, none = F.regexp_extract(token, "^[ -]?", 0), F.lit(None).cast("string")
+                return (F.when(card["i"] == i, F.struct(F.lit("card").alias("kind"), F.concat(lead, card["text"]).alias("text")))
+                        .when(card.isNotNull(), F.struct(none.alias("kind"), F.lit("").alias("text")))
+                        .when(_is_group(token), F.struct(none.alias("kind"), token.alias("text"))).otherwise(replacement(key, token)))
+
+            return bound(F.get(F.filter(found, lambda c: (c["i"] <= i) & (i < c["i"] + c["n"])), 0), woven)
+
+        return F.transform("hits", piece)
+
+    rows = rows.select("row", bound(F.col("cards"), new).alias("new"))  # bound: the cards are sought once, not for each hit
     gaps = F.split(body, ANY)
     woven = F.array_join(F.zip_with(gaps, "new", lambda gap, n: F.concat(gap, F.coalesce(n["text"], F.lit("")))), "")
     kinds = F.filter(F.transform("new", lambda n: n["kind"]), lambda k: k.isNotNull())

@@ -80,6 +80,29 @@ def test_formats_link_and_the_rest_stays(spark):
     assert len(set(got[9][0].split(" "))) == 1
 
 
+def test_values_with_digits_or_words_beside_them(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [
+        f"card {card} 12/27", f"card {card} 123", f"no 12 {card}, {amex} 1234", "5500-0055 5555-5559", "55000055 55555559", f"{card} 5500 0055 5555 5559 {card}",
+        f"{card} 12/27/2024", f"2024-01-02 {card} 10.0.0.1 {card} 988-555-2485", f"{card} 12@ex.org", " ".join(["7"] * 3000 + [card] + ["7"] * 3000),
+        "ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "BE68 5390 0754 7034 BIC KREDBEBB", "BE68539007547034 ABC", "at 2024-01-02T10:00:00Z", "4111-1111-1111-1111-1",
+        "1999 2000 2001 2002 2003 2004 2005 2006 2007 2008", "11 12 13 14 15 16 17 18 19 20", "4111 1111 1111 1112 12/27", f"{card}x",
+    ]
+    kinds = ["card"], ["card"], ["card"] * 2, ["card"], ["card"], ["card"] * 3, ["card", "date"], ["date", "card", "ip", "card", "phone"], ["card", "email"], ["card"], ["iban"], ["iban"], ["iban"], ["date"], ["card"]
+    got = masked(spark, texts)
+    for i, want in enumerate(kinds):
+        assert got[i][1] == want, (texts[i][-200:], got[i])
+        assert re.sub("[A-Za-z]", "a", re.sub(r"\d", "0", got[i][0])) == re.sub("[A-Za-z]", "a", re.sub(r"\d", "0", texts[i])) or i == 7
+    for i in range(len(kinds), len(texts)):
+        assert got[i] == (texts[i], [])
+    new = got[0][0][5:24]
+    assert luhn(new.replace(" ", "")) and new != card and got[0][0] == f"card {new} 12/27" and got[1][0] == f"card {new} 123" and got[14][0] == f"{new}-1".replace(" ", "-")
+    assert got[2][0].startswith(f"no 12 {new}, 3") and got[2][0].endswith(" 1234") and got[9][0].strip("7 ") == new.strip("7 ")
+    assert got[3][0].replace("-", "").replace(" ", "") == got[4][0].replace(" ", "") == got[5][0][20:39].replace(" ", "")
+    assert iban(got[10][0][:29]) and got[10][0][29:] == texts[10][29:] and iban(got[11][0][:19]) and got[12][0] == got[11][0][:19].replace(" ", "") + " ABC"
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT10:00:00Z", got[13][0]) and "2024-01-02" not in got[13][0]
+
+
 @pytest.mark.parametrize("size", [(7, 5), (1, 3), (10, 10)])
 def test_pairs_are_permuted(spark, size):
     n, m = size
