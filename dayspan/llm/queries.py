@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-OPERATORS = ("lines", "quality", "mixing", "decontaminate", "chat", "pii", "urls", "jaccard", "pages", "tokens", "spelling")
+OPERATORS = ("lines", "quality", "mixing", "decontaminate", "chat", "pii", "urls", "jaccard", "pages", "tokens", "spelling", "phrases", "embedding")
 
 
 def query(name: str, sql: str | None = None):
