@@ -1,53 +1,128 @@
-"""How much each feature moves a model's predictions."""
+"""How much each feature moves a tree model's predictions."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from dayspan.functions.columns import stable_hash
 
+@dataclass
+class Leaf:
+    """One leaf: its share of the prediction, and per feature on its path the tests and the share of training rows."""
 
-def shapley_rows(model, df: DataFrame, cols: Sequence[str], key: str, orders: int = 4, background: int = 20, seed: int = 42) -> DataFrame:
-    """(key, feature, contribution) by sampled feature orders.
+    value: float
+    features: list[int]
+    tests: list[list[tuple[str, object]]]
+    covers: list[float]
 
-    For each row and order the features switch one by one from a background row to
-    the row's own values; a feature's contribution is the change of the prediction
-    at its switch. Contributions of a row add up to its prediction minus the mean
-    prediction of the background rows it met.
+
+def _passes(column: np.ndarray, test: tuple[str, object]) -> np.ndarray:
+    kind, bound = test
+    if kind == "in":
+        return np.isin(column, bound)
+    if kind == "out":
+        return ~np.isin(column, bound)
+    return column <= bound if kind == "low" else column > bound
+
+
+def leaves(model) -> list[Leaf]:
+    """The leaves of all trees of a fitted tree, forest or boosted model, weighted as the model adds them."""
+    trees = list(model.trees) if hasattr(model, "trees") else [model]
+    weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0]
+    scale = 1.0 if "GBT" in type(model).__name__ else 1.0 / sum(weights)
+    found = []
+
+    def walk(node, weight, path):
+        if node.numDescendants() == 0:
+            merged: dict[int, tuple[list, float]] = {}
+            for feature, test, cover in path:
+                tests, share = merged.get(feature, ([], 1.0))
+                merged[feature] = ([*tests, test], share * cover)
+            found.append(Leaf(weight * node.prediction(), list(merged), [t for t, _ in merged.values()], [c for _, c in merged.values()]))
+            return
+        split, rows = node.split(), node.impurityStats().count()
+        if "Continuous" in split.getClass().getSimpleName():
+            tests = ("low", split.threshold()), ("high", split.threshold())
+        else:
+            left = [float(c) for c in split.leftCategories()]
+            tests = ("in", left), ("out", left)
+        for child, test in zip((node.leftChild(), node.rightChild()), tests):
+            walk(child, weight, [*path, (split.featureIndex(), test, child.impurityStats().count() / rows)])
+
+    for tree, weight in zip(trees, weights):
+        walk(tree._java_obj.rootNode(), weight * scale, [])
+    return found
+
+
+def leaf_contributions(passes: np.ndarray, covers: Sequence[float]) -> np.ndarray:
+    """Shapley values of a leaf of value 1: rows x features on its path.
+
+    ``passes`` says which features let a row through. A known feature counts as that, an unknown
+    one as the share of training rows that went this way. The sum over all sets of known features
+    is read from the coefficients of a product with one factor for each other feature.
+    """
+    n, m = passes.shape
+    out = np.zeros((n, m))
+    sizes = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
+    for j in range(m):
+        terms = np.zeros((n, m))
+        terms[:, 0] = 1.0
+        for i in range(m):
+            if i != j:
+                terms[:, 1:] = terms[:, 1:] * covers[i] + terms[:, :-1] * passes[:, i : i + 1]
+                terms[:, 0] *= covers[i]
+        out[:, j] = (terms @ sizes) * (passes[:, j] - covers[j])
+    return out
+
+
+def contributions(found: Sequence[Leaf], x: np.ndarray) -> np.ndarray:
+    """Rows x features. Rows that meet a leaf alike share one calculation."""
+    out = np.zeros(x.shape)
+    for leaf in found:
+        if not leaf.features:
+            continue
+        passes = np.stack([np.logical_and.reduce([_passes(x[:, f], t) for t in tests]) for f, tests in zip(leaf.features, leaf.tests)], 1)
+        alike, which = np.unique(passes, axis=0, return_inverse=True)
+        out[:, leaf.features] += leaf.value * leaf_contributions(alike.astype(float), leaf.covers)[which.reshape(-1)]
+    return out
+
+
+def base_value(found: Sequence[Leaf]) -> float:
+    """The prediction when no feature is known."""
+    return float(sum(leaf.value * math.prod(leaf.covers) for leaf in found))
+
+
+def shapley_rows(model, df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
+    """(key, feature, contribution): exact Shapley values along the paths of the model's trees.
+
+    A row's contributions and the base value add up to its prediction. There is no background
+    sample and no drawn order; the work is rows times leaves. Rows with a gap are left out.
     """
-    p = len(cols)
-    rows = df.na.drop("any", subset=list(cols))
-    bg = rows.orderBy(stable_hash(F.col(key), seed), key).limit(background).select(*[F.col(c).cast("double").alias(c) for c in cols]).collect()
-    base = F.array(*[F.array(*[F.lit(float(r[c])) for c in cols]) for r in bg])
-    own = F.array(*[F.col(c).cast("double") for c in cols])
-    drawn = rows.select(key, own.alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("_m"))
-    # A hash per (row, order, feature) sorts the features; another picks the background row.
-    ranks = F.array(*[F.struct(F.xxhash64(F.col(key), F.col("_m"), F.lit(seed + i)).alias("h"), F.lit(i).alias("i")) for i in range(p)])
-    pick = F.pmod(F.xxhash64(F.col(key), F.col("_m"), F.lit(seed)), F.lit(len(bg))).cast("int")
-    drawn = drawn.select(key, "_own", "_m", F.transform(F.array_sort(ranks), lambda s: s["i"]).alias("_order"), F.get(base, pick).alias("_bg"))
-    steps = drawn.select("*", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("_s"))
-    known = F.slice("_order", F.lit(1), F.col("_s"))
-    mixed = [F.when(F.array_contains(known, i), F.col("_own")[i]).otherwise(F.col("_bg")[i]).alias(c) for i, c in enumerate(cols)]
-    staged = steps.select(key, "_m", "_s", "_order", *mixed)
-    scored = model.transform(VectorAssembler(inputCols=list(cols), outputCol="features").transform(staged))
-    path = scored.groupBy(key, "_m").agg(
-        F.array_sort(F.collect_list(F.struct("_s", "prediction"))).alias("f"), F.first("_order").alias("_order")
-    )
-    change = F.transform(F.sequence(F.lit(1), F.lit(p)), lambda s: F.struct(
-        F.get("_order", s - 1).alias("i"), (F.get("f", s)["prediction"] - F.get("f", s - 1)["prediction"]).alias("d")
-    ))
-    names = F.array(*[F.lit(c) for c in cols])
-    parts = path.select(key, F.explode(change).alias("c"))
-    return parts.groupBy(key, F.get(names, F.col("c.i")).alias("feature")).agg((F.sum("c.d") / orders).alias("contribution"))
-
-
-def attribution_summary(model, df: DataFrame, cols: Sequence[str], key: str, **draws) -> DataFrame:
+    rows = df.na.drop("any", subset=list(cols)).select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    given = df.sparkSession.sparkContext.broadcast(leaves(model))  # as large as the model
+    names = list(cols)
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+                keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), len(names))))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(names * len(x)), pa.array(contributions(given.value, x).ravel())], names=[key, "feature", "contribution"])
+
+    schema = StructType([df.schema[key], *StructType.fromDDL("feature string, contribution double").fields])
+    return rows.mapInArrow(work, schema)
+
+
+def attribution_summary(model, df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
     """Mean absolute contribution per feature next to the model's own importance."""
     own = [float(x) for x in model.featureImportances.toArray()] if hasattr(model, "featureImportances") else [None] * len(cols)
     table = df.sparkSession.createDataFrame(list(zip(cols, own)), "feature string, importance double")
-    mean = shapley_rows(model, df, cols, key, **draws).groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
-    return mean.join(table, "feature")
+    mean = shapley_rows(model, df, cols, key).groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
+    return mean.join(F.broadcast(table), "feature")  # one row for each column

@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from dayspan.functions.columns import lookup
 
-# A spread below this share of the mean square is rounding: the column does not vary.
-NO_SPREAD = 1e-13
+# Columns of a tile: the correlations of two tiles are one row of aggregates.
+TILE = 4
+# Up to this number of pairs a row of the table is aggregated as it is.
+DIRECT = 16
 
 
 def _pairs(cols: Sequence[str], diagonal: bool) -> list[tuple[str, str]]:
@@ -25,50 +24,42 @@ def _pairs(cols: Sequence[str], diagonal: bool) -> list[tuple[str, str]]:
 def _long(df: DataFrame, by: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """r of every pair over its pairwise-complete rows, in long form, in one scan for any width.
 
-    A batch of rows gives the sums of all pairs as a few matrix products; the sums of
-    batches are added up by a grouping. Values are taken relative to one row's, which
-    keeps the products small.
+    Columns are cut into tiles. A row becomes one row for each pair of tiles that is needed, and
+    one aggregate for each position of two tiles; sums are merged before the shuffle, so neither
+    a person with very many rows nor a task that meets very many persons is held as a whole.
     """
-    by, cols = list(by), list(dict.fromkeys(c for p in pairs for c in p))
+    by, pairs = list(by), list(pairs)
+    if len(pairs) <= DIRECT:
+        wide = df.groupBy(*by).agg(*[_corr(F.col(x), F.col(y)).alias(f"_r{i}") for i, (x, y) in enumerate(pairs)])
+        cells = [F.struct(F.lit(x).alias("var_i"), F.lit(y).alias("var_j"), _own(F.col(f"_r{i}"), F.lit(x == y)).alias("r")) for i, (x, y) in enumerate(pairs)]
+        return wide.select(*by, F.inline(F.array(*cells)))
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
     place = {c: i for i, c in enumerate(cols)}
-    left, right = (np.array([place[p[k]] for p in pairs]) for k in (0, 1))
-    one = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).first()
-    shift = np.array([one[c] or 0.0 for c in cols]) if one else np.zeros(len(cols))
-    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-
-    def sums(batches):
-        for batch in batches:
-            table = np.column_stack([np.asarray(batch.column(len(by) + i).cast(pa.float64()).to_numpy(zero_copy_only=False), float) for i in range(len(cols))])
-            known = np.column_stack([np.asarray(batch.column(len(by) + i).is_valid()) for i in range(len(cols))])
-            value = np.where(known, table - shift, 0.0)
-            if by:
-                groups = pa.table([batch.column(i) for i in range(len(by))], names=by)
-                code = groups.append_column("_row", pa.array(np.arange(batch.num_rows))).group_by(by, use_threads=False).aggregate([("_row", "list")])
-                parts = [np.asarray(x.values) for x in code["_row_list"].combine_chunks()]
-            else:
-                code, parts = None, [slice(None)]
-            found = []
-            for rows in parts:
-                x, m = value[rows], known[rows].astype(float)
-                xm, xx = x.T @ m, (x * x).T @ m
-                cells = [(m.T @ m)[left, right], xm[left, right], xm[right, left], xx[left, right], xx[right, left], (x.T @ x)[left, right]]
-                found.append(np.stack(cells))
-            flat = np.concatenate(found, 1)
-            keys = [code[c].combine_chunks().take(pa.array(np.repeat(np.arange(len(parts)), len(pairs)))) for c in by]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.tile(np.arange(len(pairs)), len(parts)), pa.int32()), *map(pa.array, flat)], names=[*by, "_pair", *names])
-
-    rows = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
-    schema = StructType([*[df.schema[c] for c in by], *StructType.fromDDL("_pair int, " + ", ".join(f"{n} double" for n in names)).fields])
-    total = rows.mapInArrow(sums, schema).groupBy(*by, "_pair").agg(*[F.sum(n).alias(n) for n in names])
-    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in names)
-    vx, vy, cov = sxx - F.try_divide(sx * sx, n), syy - F.try_divide(sy * sy, n), sxy - F.try_divide(sx * sy, n)
-    varies = (n >= 2) & (vx > NO_SPREAD * sxx) & (vy > NO_SPREAD * syy)
-    r = F.when(varies, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))))
-    var_i, var_j = (F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1))
-    return total.select(
-        *by, F.element_at(var_i, F.col("_pair") + 1).alias("var_i"), F.element_at(var_j, F.col("_pair") + 1).alias("var_j"),
-        F.when(F.element_at(var_i, F.col("_pair") + 1) == F.element_at(var_j, F.col("_pair") + 1), F.when(varies, F.lit(1.0))).otherwise(r).alias("r"),
-    )
+    tiles = [cols[i:i + TILE] for i in range(0, len(cols), TILE)]
+    asked = sorted({(place[x] // TILE, place[y] // TILE) for x, y in pairs})
+    values = [F.array(*[F.col(c).cast("double") for c in tile]) for tile in tiles]
+    tile_at = F.transform(F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in asked]), lambda t: F.struct(t[0].alias("_a"), t[1].alias("_b")))
+    rows = df.select(*by, F.array(*values).alias("_v"), F.explode(tile_at).alias("_t"))
+    rows = rows.select(*by, "_t", F.element_at("_v", F.col("_t._a") + 1).alias("_x"), F.element_at("_v", F.col("_t._b") + 1).alias("_y"))
+    spots = [(i, j) for i in range(TILE) for j in range(TILE)]
+    wide = rows.groupBy(*by, "_t").agg(*[_corr(F.get("_x", F.lit(i)), F.get("_y", F.lit(j))).alias(f"_r{i}_{j}") for i, j in spots])
+    cells = F.array(*[F.struct((F.col("_t._a") * TILE + i).alias("_i"), (F.col("_t._b") * TILE + j).alias("_j"), F.col(f"_r{i}_{j}").alias("r")) for i, j in spots])
+    names = F.array(*[F.lit(c) for c in cols])
+    wanted = F.create_map(*[x for i, j in sorted({(place[x], place[y]) for x, y in pairs}) for x in (F.lit(i * len(cols) + j), F.lit(True))])
+    long = wide.select(*by, F.inline(cells)).filter((F.col("_i") < len(cols)) & (F.col("_j") < len(cols)) & wanted[F.col("_i") * len(cols) + F.col("_j")])
+    names = [F.element_at(names, F.col(c) + 1).alias(n) for c, n in (("_i", "var_i"), ("_j", "var_j"))]
+    return long.select(*by, *names, _own(F.col("r"), F.col("_i") == F.col("_j")).alias("r"))
+
+
+def _own(r: Column, same: Column) -> Column:
+    """r of a column with itself is 1 without rounding."""
+    return F.when(same & r.isNotNull(), F.lit(1.0)).otherwise(r)
+
+
+def _corr(x: Column, y: Column) -> Column:
+    """Pearson's r in [-1, 1]; null if either side does not vary or fewer than two rows are complete."""
+    r = F.nanvl(F.corr(x, y), F.lit(None).cast("double"))
+    return F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], diagonal: bool = False) -> DataFrame:

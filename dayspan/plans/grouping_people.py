@@ -160,7 +160,23 @@ def coded_demo(spark, sf):
     return coded
 
 
-@query("single_linkage_persons")
+def _linkage_sql(k: int) -> str:
+    """Bottleneck ranks between all distinct points by repeated squaring; an edge of the tree is its own bottleneck."""
+    codes = ", ".join(f"dense_rank() OVER (ORDER BY {c}) - 1 AS {c}" for c in ("c_mktsegment", "n_name", "r_name"))
+    gap = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in ("c_mktsegment", "n_name", "r_name"))
+    steps = ", ".join(f"m{i + 1} AS (SELECT x.a, y.b, min(greatest(x.t, y.t)) AS t FROM m{i} x JOIN m{i} y ON x.b = y.a GROUP BY 1, 2)" for i in range(8))
+    return (
+        f"WITH {inp.SQL_DEMO}, coded AS (SELECT num_id, {codes} FROM demo), p AS (SELECT min(num_id) AS id, c_mktsegment, n_name, r_name FROM coded GROUP BY ALL), "
+        f"e AS (SELECT a.id AS a, b.id AS b, row_number() OVER (ORDER BY sqrt({gap}), a.id, b.id) AS t FROM p a JOIN p b ON a.id < b.id), "
+        f"m0 AS (SELECT a, b, t FROM e UNION ALL SELECT b, a, t FROM e UNION ALL SELECT id, id, 0 FROM p), {steps}, "
+        f"tree AS (SELECT e.t FROM e JOIN m8 ON e.a = m8.a AND e.b = m8.b AND e.t = m8.t), "
+        f"cut AS (SELECT coalesce(max(t), 0) AS t FROM (SELECT t, row_number() OVER (ORDER BY t) AS n FROM tree) WHERE n <= (SELECT count(*) FROM p) - {k}), "
+        "lab AS (SELECT a AS id, min(b) AS c FROM m8 WHERE t <= (SELECT t FROM cut) GROUP BY 1) "
+        "SELECT num_id, dense_rank() OVER (ORDER BY lab.c) - 1 AS cluster FROM coded JOIN p USING (c_mktsegment, n_name, r_name) JOIN lab USING (id)"
+    )
+
+
+@query("single_linkage_persons", _linkage_sql(7))
 def single_linkage_persons(spark, sf):
     return cl.single_linkage(coded_demo(spark, sf), "num_id", ["c_mktsegment", "n_name", "r_name"], 7)
 

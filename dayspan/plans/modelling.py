@@ -253,8 +253,8 @@ def flatten_results(spark, sf):
 @query("attribution_summary")
 def attribution_summary(spark, sf):
     rows = mo.cut_lineage(panel_rows(spark, sf))
-    model = mo.forest(trees=10).fit(mo.assemble(rows, inp.SENSORS, [F.col("purchase").alias("y")]))
-    return attribution.attribution_summary(model, rows, inp.SENSORS, "cell_row", orders=2)
+    model = mo.forest().fit(mo.assemble(rows, inp.SENSORS, [F.col("purchase").alias("y")]))
+    return attribution.attribution_summary(model, rows, inp.SENSORS, "cell_row")
 
 
 @query("dt_by_cluster")

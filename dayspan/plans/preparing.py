@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dayspan.functions.columns import stable_hash
 from dayspan.operators import encode, impute, transform
 from dayspan.operators import timeline as tl
 from dayspan.plans import inputs as inp
@@ -196,24 +197,84 @@ def known_panel(spark, sf):
     return p.select("num_id", "dt", (F.col("num_id") * 100000 + F.datediff("dt", F.lit("2000-01-01"))).alias("cell_row"), *[F.col(f"{c}_int").alias(c) for c in inp.FEATURES])
 
 
+PLANTED = ("load", "steps", "rest")
+
+
+def planted_panel(spark, sf):
+    """The densified person-days with planted columns: ``steps`` and ``rest`` follow ``load``, ``chance`` follows nothing.
+
+    Every fifth person has no structure, every seventh has most cells missing; an eighth of the other cells is missing.
+    """
+    days = inp.panel_full(spark, sf).select("num_id", "dt", (F.col("num_id") * 100000 + F.datediff("dt", F.lit("2000-01-01"))).alias("cell_row"))
+    u = lambda seed: stable_hash(F.col("cell_row"), seed) / F.lit(float(1 << 32))
+    load = 10 * u(101)
+    loose = F.col("num_id") % 5 == 0
+    values = {
+        "load": load,
+        "steps": F.when(loose, 30 * u(103)).otherwise(3 * load + u(102)),
+        "rest": F.when(loose, 10 + 10 * u(105)).otherwise(20 - load + u(104)),
+        "chance": 10 * u(106),
+    }
+    gap = F.when(F.col("num_id") % 7 == 3, F.lit(60)).otherwise(F.lit(12))
+    cells = [F.when(stable_hash(F.col("cell_row"), 110 + i) % 100 >= gap, v).alias(c) for i, (c, v) in enumerate(values.items())]
+    return days.select("num_id", "dt", "cell_row", *cells)
+
+
+def _structured(spark, sf):
+    return planted_panel(spark, sf).filter("num_id % 5 <> 0 and num_id % 7 <> 3")
+
+
 @query("rf_impute")
 def rf_impute(spark, sf):
-    return impute.impute_table(known_panel(spark, sf), "cell_row", inp.FEATURES, 0.5)[0]
+    return impute.impute_table(_structured(spark, sf), "cell_row", PLANTED)[0]
+
+
+@query("rf_impute_refused")
+def rf_impute_refused(spark, sf):
+    """The measured panel: its columns tell nothing of each other, so the ledger refuses it."""
+    return impute.impute_table(known_panel(spark, sf), "cell_row", inp.FEATURES, 0.5)[1]
 
 
 @query("rf_impute_by_person")
 def rf_impute_by_person(spark, sf):
-    return impute.impute_by_person(known_panel(spark, sf), "cell_row", inp.FEATURES, share=0.5)[0]
+    return impute.impute_by_person(planted_panel(spark, sf), "cell_row", PLANTED)[0]
 
 
 @query("rf_impute_by_column")
 def rf_impute_by_column(spark, sf):
-    return impute.impute_by_column(known_panel(spark, sf), "cell_row", inp.FEATURES, 0.6)[0]
+    return impute.impute_by_column(_structured(spark, sf), "cell_row", ("load", "steps", "chance"))[0]
 
 
-@query("impute_ledger")
+@query("impute_column_ledger")
+def impute_column_ledger(spark, sf):
+    return impute.impute_by_column(_structured(spark, sf), "cell_row", ("load", "steps", "chance"))[1]
+
+
+_GAPS = ", ".join(
+    f"CASE WHEN {hash_sql('cell_row', 110 + i)} % 100 >= CASE WHEN num_id % 7 = 3 THEN 60 ELSE 12 END THEN 1 END AS {c}" for i, c in enumerate(PLANTED)
+)
+_LEDGER = (
+    f"WITH {inp.SQL_FULL}, k AS (SELECT num_id, num_id * 100000 + date_diff('day', DATE '2000-01-01', dt) AS cell_row FROM pf), g AS (SELECT num_id, cell_row, {_GAPS} FROM k), "
+    f"l AS (SELECT num_id, count(*) AS rows, ({' + '.join(f'count({c})' for c in PLANTED)}) / (count(*) * {len(PLANTED)}) AS share FROM g GROUP BY 1), "
+    "e AS (SELECT *, CAST(rows >= 20 AND share >= 0.6 AS INTEGER) AS eligible FROM l), pool AS (SELECT g.* FROM g JOIN e USING (num_id) WHERE eligible = 1), "
+    "c AS (" + " UNION ALL ".join(f"SELECT num_id, cell_row, '{c}' AS col, {hash_sql(f'(cell_row * {len(PLANTED)} + {i})')} AS h FROM pool WHERE {c} IS NOT NULL" for i, c in enumerate(PLANTED)) + "), "
+    f"hid AS (SELECT num_id, row_number() OVER (ORDER BY h, cell_row, col) AS n FROM c), "
+    f"cut AS (SELECT num_id, count(*) AS cells FROM hid WHERE n <= floor((SELECT count(*) FROM pool) * {len(PLANTED)} * CAST(0.1 AS DOUBLE)) GROUP BY 1) "
+    "SELECT num_id, rows, round(share, 6) AS share, eligible, cells FROM e LEFT JOIN cut USING (num_id)"
+)
+
+
+@query("impute_ledger", _LEDGER)
 def impute_ledger(spark, sf):
-    return impute.impute_by_person(known_panel(spark, sf), "cell_row", inp.FEATURES, share=0.5)[1]
+    ledger = impute.impute_by_person(planted_panel(spark, sf), "cell_row", PLANTED)[1]
+    return inp.rounded(ledger.select("num_id", "rows", "share", "eligible", "cells"), ["share"])
+
+
+@query("impute_verdicts")
+def impute_verdicts(spark, sf):
+    """Who is imputed: persons with structure and enough known cells are, the others keep their gaps."""
+    ledger = impute.impute_by_person(planted_panel(spark, sf), "cell_row", PLANTED)[1]
+    return ledger.select("num_id", "rmse_scaled", "r2", "p_value", "accepted")
 
 
 @query("fill_zero", f"WITH {inp.SQL_DAY} SELECT num_id, dt, " + ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in inp.FEATURES) + " FROM panel")

@@ -133,7 +133,7 @@ def stability_select(spark, sf):
 
     cols = ["n_chars", "n_words", "n_lines", "toxic"]
     xy = zscore(d.join(lab, "doc_id").select("doc_id", "quality", *[F.col(c).cast("double").alias(c) for c in cols]), cols)
-    return selection.stability_select(xy, "quality", cols, ["doc_id"], samples=2, penalties=(0.05, 0.005), folds=2, max_iter=25)
+    return selection.stability_select(xy, "quality", cols, ["doc_id"])
 
 
 _CL = {"view": 0, "click": 0, "signup": 1, "error": 1}

@@ -1,4 +1,6 @@
 import math
+from itertools import combinations
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -91,16 +93,36 @@ def test_walk_forward_predicts_every_late_row_once(xy):
     assert mo.walk_forward_report(out, ["num_id"]).count() == 20
 
 
-def test_contributions_add_up(spark, xy):
-    cols = ["a", "b", "c"]
-    model = mo.forest(trees=5).fit(mo.assemble(xy, cols, [F.col("target").alias("y")]))
-    parts = attribution.shapley_rows(model, xy, cols, "id", orders=3, background=1)
-    total = parts.groupBy("id").agg(F.sum("contribution").alias("s"))
-    guess = model.transform(mo.assemble(xy, cols, ["id"])).select("id", "prediction")
-    spread = total.join(guess, "id").agg(F.stddev_pop(F.col("prediction") - F.col("s")), F.count(F.lit(1))).first()
-    assert spread[0] < 1e-9 and spread[1] == 400  # the difference is the background prediction
-    rank = [r["feature"] for r in attribution.attribution_summary(model, xy, cols, "id", orders=2).orderBy(F.desc("mean_abs")).collect()]
-    assert rank == ["a", "b", "c"]
+def _known(leaf, x, known):
+    """Value of a leaf when only the features of ``known`` can be looked at."""
+    value = leaf.value
+    for f, tests, cover in zip(leaf.features, leaf.tests, leaf.covers):
+        value *= float(all(attribution._passes(x[f : f + 1], t)[0] for t in tests)) if f in known else cover
+    return value
+
+
+@pytest.mark.parametrize("boosted", [False, True])
+def test_contributions_are_exact(spark, xy, boosted):
+    cols = ["a", "b", "c", "day"]
+    rows = mo.assemble(xy, cols, ["id", F.col("target").alias("y")])
+    model = (mo.GBTRegressor(labelCol="y", maxDepth=3, maxIter=4, seed=1) if boosted else mo.forest(trees=5)).fit(rows)
+    found = attribution.leaves(model)
+    parts = {}
+    for r in attribution.shapley_rows(model, xy, cols, "id").collect():
+        parts.setdefault(r["id"], {})[r["feature"]] = r["contribution"]
+    for r in model.transform(rows).select("id", "features", "prediction").collect():  # they add up for every row
+        assert abs(sum(parts[r["id"]].values()) + attribution.base_value(found) - r["prediction"]) < 1e-9
+    p = len(cols)
+    for r in rows.orderBy("id").limit(3).collect():  # and follow the definition over all sets of features
+        x = np.array(r["features"].toArray())
+        worth = {s: sum(_known(leaf, x, s) for leaf in found) for n in range(p + 1) for s in combinations(range(p), n)}
+        for j, c in enumerate(cols):
+            want = sum(
+                factorial(len(s)) * factorial(p - 1 - len(s)) / factorial(p) * (worth[tuple(sorted((*s, j)))] - worth[s]) for s in worth if j not in s
+            )
+            assert abs(parts[r["id"]][c] - want) < 1e-9
+    rank = [r["feature"] for r in attribution.attribution_summary(model, xy, cols, "id").orderBy(F.desc("mean_abs")).collect()]
+    assert rank[0] == "a"
 
 
 def test_boosted_trees_beat_one_tree(xy):

@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, duck
+from dayspan.plans import registry
 
-ORACLES = entry.oracle_sql()
+ORACLES = registry.oracles()  # the text queries have tests of their own
 
 # Queries whose work is numeric code over Arrow batches; all others stay in Spark expressions.
 PYTHON = {"pair_dtw", "knn_classify", "dbscan", "dbscan_labels"}
