@@ -165,7 +165,7 @@ def shingle_counts(docs: DataFrame, text: str, windows) -> DataFrame:
             seen = total[k] > 0
             yield pa.RecordBatch.from_arrays([pa.array(look.sorted[seen].view(np.int64)), pa.array(total[k][seen])], names=["hash", "n"])
 
-    return shared.text_batches(docs).select(F.col(text).cast("string")).mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return shared.text_batches(docs).select(F.col(text).cast("string")).mapInArrow(shared.giving_back(count), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[tuple[list[str], list[str | None]]]:

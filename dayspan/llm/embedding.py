@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from dayspan.llm import textscan as ts
 from dayspan.llm.rowscan import scan
-from dayspan.llm.shared import text_batches
+from dayspan.llm.shared import giving_back, text_batches
 
 CHUNK = 1 << 19
 WORD_BITS, CHAR_BITS = 17, 18
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
                 cells = [pa.array([x[i].astype(kind).tobytes() for x in made], pa.binary()) for i, kind in ((0, "<i4"), (1, "<f4"))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), *cells], names=["id", "quality", "slots", "times"])
 
-    made = rows.mapInArrow(vectors, "id string, quality int, slots binary, times binary")
+    made = rows.mapInArrow(giving_back(vectors), "id string, quality int, slots binary, times binary")
     each = F.min_by(F.struct("slots", "times"), F.struct(F.xxhash64("slots", "times"), "slots")).alias("v")
     sample = made.groupBy("id", "quality").agg(each).select("id", "quality", "v.slots", "v.times")
 
@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
             fitted = train_vectors([(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["times"], "<f4")) for r in found], good)
             yield pa.RecordBatch.from_pydict({"weights": [slot_weights(*fitted).tobytes()], "odds": [float(np.log((good == 0).sum() / (good == 1).sum()))]})
 
-    fitted = sample.repartition(1).mapInArrow(learn, "weights binary, odds double").first()
+    fitted = sample.repartition(1).mapInArrow(giving_back(learn), "weights binary, odds double").first()
     if fitted is None:
         return None
     n = one.agg(F.sum("quality"), F.count("*")).first()

@@ -34,8 +34,8 @@ from dayspan.llm import graph, shared
 from dayspan.llm import textscan as ts
 from dayspan.llm.decontaminate import Lookup
 
-REPORT, ORDERED = 3, 500_000
-BATCH_BYTES = 32 << 20
+REPORT, ORDERED = 2, 500_000
+BATCH_BYTES = 4 << 20
 SLOTS = 1 << 22  # bits of the table of wanted ids
 
 
@@ -86,7 +86,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
         if held:
             yield ended(held)
 
-    found = docs.select("text").mapInArrow(report, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(shared.giving_back(report), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     table = found.orderBy(F.desc("n"), "gram").limit(ORDERED).toArrow()  # bounded
     return np.asarray(table["gram"].combine_chunks() if table.num_rows else pa.array([], pa.int64())).view(np.uint64)[::-1].copy()
 
@@ -121,7 +121,7 @@ def document_sets(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> D
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), pa.array(n), pa.array(d[0]), pa.array(d[1]), lists], names=["doc_id", "n", "d1", "d2", "prefix"])
 
-    return docs.mapInArrow(make, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    return docs.mapInArrow(shared.giving_back(make), "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
 def full_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def full_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                 cells = [data[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(cells, pa.binary())], names=["doc_id", "grams"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text", slot.cast("int").alias("slot")).mapInArrow(make, "doc_id long, grams binary")
+    return docs.filter("doc_id is not null").select("doc_id", "text", slot.cast("int").alias("slot")).mapInArrow(shared.giving_back(make), "doc_id long, grams binary")
 
 
 def joined_pairs(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -190,7 +190,7 @@ def possible(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
                 keep[i] = most * (100 + percent) >= percent * (n[0][i] + n[1][i])
             yield batch.filter(pa.array(keep)).select([at["a"], at["b"]])
 
-    return joined_pairs(pairs, rows, "node").mapInArrow(bounded, "a long, b long").distinct()
+    return joined_pairs(pairs, rows, "node").mapInArrow(shared.giving_back(bounded), "a long, b long").distinct()
 
 
 def tested(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -211,7 +211,7 @@ def tested(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and len(y) > 0)
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return joined_pairs(pairs, sets, "doc_id").select("a", "b", "a_grams", "b_grams").mapInArrow(overlap, "a long, b long").distinct()
+    return joined_pairs(pairs, sets, "doc_id").select("a", "b", "a_grams", "b_grams").mapInArrow(shared.giving_back(overlap), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:

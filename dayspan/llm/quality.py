@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dayspan.llm import textscan as ts
 from dayspan.llm.rowscan import scan
-from dayspan.llm.shared import text_batches
+from dayspan.llm.shared import giving_back, text_batches
 
 CHUNK = 1 << 18  # bytes; the n-grams of a chunk take some fifty times as much
 DIMS = 1 << 16  # of each of the two n-gram families
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
                 cells = [pa.array([x[i].astype(kind).tobytes() for x in made], pa.binary()) for i, kind in ((0, "<i4"), (1, "<f4"))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), *cells], names=["doc_id", "quality", "slots", "shares"])
 
-    made = text_batches(rows).select("doc_id", F.col("text").cast("string"), "quality").mapInArrow(vectors, "doc_id long, quality int, slots binary, shares binary")
+    made = text_batches(rows).select("doc_id", F.col("text").cast("string"), "quality").mapInArrow(giving_back(vectors), "doc_id long, quality int, slots binary, shares binary")
 
     def learn(batches):
         found = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["doc_id"], r["slots"]))
@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             model = fit([(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in found], good)
             yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "numbers": [[model.bias, model.slope, model.shift]]})
 
-    one = made.repartition(1).mapInArrow(learn, "weights binary, numbers array<double>").first()
+    one = made.repartition(1).mapInArrow(giving_back(learn), "weights binary, numbers array<double>").first()
     return Model(np.frombuffer(one["weights"], np.float32), *one["numbers"]) if one else None
 
 

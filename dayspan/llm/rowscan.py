@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dayspan.llm.shared import text_batches
+from dayspan.llm.shared import giving_back, text_batches
 
 
 def scan(df: DataFrame, column: str, added: str, work: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
@@ -28,4 +28,4 @@ def scan(df: DataFrame, column: str, added: str, work: Callable[[], Callable[[pa
             rows = batch.column(0)
             yield pa.RecordBatch.from_arrays([rows, *step(rows.field(place))], names=["row", *extra.names])
 
-    return text_batches(df).select(F.struct("*").alias("row")).mapInArrow(run, schema)
+    return text_batches(df).select(F.struct("*").alias("row")).mapInArrow(giving_back(run), schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,21 +27,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-TEXT_ROWS = 1000
+TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """The table itself; Python functions on it get Arrow batches of at most ``TEXT_ROWS`` rows.
+    """The table itself; Python functions on it get Arrow batches of about ``TEXT_ROWS`` rows or ``TEXT_BYTES`` bytes at most.
 
-    The usual 10,000 rows are tens of megabytes of text, several times over in each worker.
-    Sets the session's batch size, and only ever lowers it.
+    The usual 10,000 rows are tens of megabytes of text, several times over in each worker, and
+    far more where rows are long. Sets the session's batch sizes, and only ever lowers them.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= TEXT_ROWS:
-        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(df.sparkSession.conf.get(name).rstrip("b")) <= most:
+            df.sparkSession.conf.set(name, str(most))
     return df
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep for later; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(work):
+    """A batch function that gives its memory back at the end of a partition."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, other characters as they are."""
     return F.translate(text, UPPER, LOWER)

@@ -154,7 +154,7 @@ def counted(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
             yield summed(held)
 
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return shared.text_batches(texts).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return shared.text_batches(texts).mapInArrow(shared.giving_back(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def word_counts(words: pa.Array) -> np.ndarray:
@@ -215,7 +215,7 @@ def sent(rows: DataFrame, depth: int, before: int) -> DataFrame:
             cells = [node, words.take(pa.array(owner)), batch.column(at["n"]).take(pa.array(owner)), pa.array(search[owner]), pa.array(left[:, 0].astype(np.int32)), pa.array(left[:, 1].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cells, names=["node", "word", "n", "search", "up", "down"])
 
-    return rows.mapInArrow(send, "node binary, word binary, n long, search boolean, up int, down int")
+    return rows.mapInArrow(shared.giving_back(send), "node binary, word binary, n long, search boolean, up int, down int")
 
 
 class Trie:
@@ -363,7 +363,7 @@ def searched(rows: DataFrame, depth: int) -> DataFrame:
             yield block(pa.Table.from_batches(held))
 
     dealt = rows.repartition("node").sortWithinPartitions("node", "search")
-    return dealt.mapInArrow(walk, "word binary, near long, best binary, best_n long")
+    return dealt.mapInArrow(shared.giving_back(walk), "word binary, near long, best binary, best_n long")
 
 
 def _own_first(table: pa.Table) -> tuple[int, pa.Table]:

@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 
 from dayspan.llm import textscan as ts
 
-SLOTS = 1 << 22
-POOL_IDS = 1 << 23
+SLOTS = 1 << 20
+POOL_IDS = 1 << 21
 JOIN_BYTES = 1 << 17
 
 _space = ts.SPACE
