@@ -31,12 +31,12 @@ from dayspan.llm import textscan as ts
 from dayspan.session import shuffle_width
 
 BLOCK_WORDS = 1_000_000  # occurrences in a block of stripes; below 2^21 - 2
-MERGE_ENTRIES = 1_500_000  # counters that a task merges at once
+MERGE_ENTRIES = 400_000  # counters that a task merges at once
 PARTS_PER_SLICE = 16
 LEAST, COVERED, TOP = 10, 50, 2000
 UNKNOWN = "und"
 SCALE = 1_000_000
-RANK_SALTS = 64
+RANK_SALTS = 16
 
 # fixed values: signs that end a piece, and what parts words inside one
 ENDS = np.zeros(256, bool)
@@ -77,7 +77,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         raw, at = ts.text_bytes(batch.column(1))
         lang, langs = coded(batch.column(0).cast(pa.large_binary()).fill_null(UNKNOWN.encode()))
-        for low, _, part, offsets in ts.chunks(raw, at, 4 * ts.CHUNK):
+        for low, _, part, offsets in ts.chunks(raw, at, 3 * ts.CHUNK):
             part = ts.LOWER[part]
             starts, ends, rows, piece = tokens(part, offsets)
             for a in range(0, len(starts), BLOCK_WORDS):
@@ -96,7 +96,7 @@ def word_totals(docs: DataFrame) -> DataFrame:
             cells = [langs.take(pa.array(key // len(words))), words.take(pa.array(key % len(words)))]
             yield pa.RecordBatch.from_arrays([c.cast(pa.binary()) for c in cells] + [pa.array(times)], names=["lang", "word", "n"])
 
-    return docs.mapInArrow(count, "lang binary, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(shared.giving_back(count), "lang binary, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def segments(totals: DataFrame, parts: int) -> dict[tuple[bytes, bytes], int]:
@@ -284,9 +284,9 @@ def frequent(docs: DataFrame, cuts: dict, least: int = LEAST) -> DataFrame:
         if held:
             yield Counters(pa.Table.from_batches(held)).candidates(least)
 
-    rows = docs.mapInArrow(make, STRIPE_COLUMNS)
+    rows = docs.mapInArrow(shared.giving_back(make), STRIPE_COLUMNS)
     dealt = rows.repartition("lang", "first", "segment").sortWithinPartitions("lang", "first", "segment")
-    return dealt.mapInArrow(merge, "lang binary, w1 binary, w2 binary, w3 binary, a long, longest long")
+    return dealt.mapInArrow(shared.giving_back(merge), "lang binary, w1 binary, w2 binary, w3 binary, a long, longest long")
 
 
 def best_cut(found: DataFrame, totals: DataFrame) -> DataFrame:
