@@ -72,7 +72,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) ->
             yield held.set_column(4, "tally", pa.array([pairs] + [None] * (held.num_rows - 1), pa.binary()))
 
     rows = shared.text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(encode, "slice int, doc_id long, n_tokens long, ids binary, tally binary")
+    return rows.mapInArrow(shared.giving_back(encode), "slice int, doc_id long, n_tokens long, ids binary, tally binary")
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
                     total[i] = total.get(i, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
 
-    return ids.filter(F.col("tally").isNotNull()).select("tally").mapInArrow(unpack, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.filter(F.col("tally").isNotNull()).select("tally").mapInArrow(shared.giving_back(unpack), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _coded(ids: DataFrame, code: Code, item: str) -> DataFrame:
@@ -104,7 +104,7 @@ def _coded(ids: DataFrame, code: Code, item: str) -> DataFrame:
                     [part.column(0), part.column(1), part.column(2), _cells(data, n_bytes), _cells(marks.astype("<u2").view(np.uint8), 2 * n_marks)],
                     names=["slice", "doc_id", "n_tokens", "data", "marks"])
 
-    return ids.select("slice", "doc_id", "n_tokens", "ids").mapInArrow(encode, "slice int, doc_id long, n_tokens long, data binary, marks binary")
+    return ids.select("slice", "doc_id", "n_tokens", "ids").mapInArrow(shared.giving_back(encode), "slice int, doc_id long, n_tokens long, data binary, marks binary")
 
 
 def _cells(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -147,7 +147,7 @@ def _packed(coded: DataFrame, before: dict[int, int]) -> DataFrame:
         if held:
             yield block()
 
-    return coded.mapInArrow(pack, BLOCKS)
+    return coded.mapInArrow(shared.giving_back(pack), BLOCKS)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
@@ -189,7 +189,7 @@ def read(spark: SparkSession, folder: str, visit, schema: str) -> DataFrame:
                 yield visit(keys.values, start.as_py() + np.cumsum(n) - n, n, ids)
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    return blocks.select("start", "doc_ids", "sizes", "marks", "data").mapInArrow(decode, schema)
+    return blocks.select("start", "doc_ids", "sizes", "marks", "data").mapInArrow(shared.giving_back(decode), schema)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
