@@ -47,3 +47,19 @@ def test_passage_of_one_line_and_empty_table(spark):
     got = {r.row.doc_id: r.kept for r in lines.without_repeats(df, "doc_id", "text", 50).collect()}
     assert got == {1: f"start\n{passage}\nend", 2: "other", 3: "other\nend"}
     assert lines.without_repeats(df.limit(0), "doc_id", "text", 50).count() == 0
+
+
+def test_long_repeated_text_is_walked_once(spark):
+    """A text of 20,000 lines and its copy, with blank lines and a change in the middle."""
+    body = [f"line {i} alpha beta" if i % 9 else "" for i in range(20_000)]
+    other = [*body[:10_000], "changed here", *body[10_001:]]
+    df = spark.createDataFrame([(1, "\n".join(body), ""), (2, "\n".join(other), "")], SCHEMA)
+    got = {r.row.doc_id: r for r in lines.without_repeats(df, "doc_id", "text", 50).collect()}
+    assert got[1].n_removed == 0 and got[1].kept == "\n".join(body)
+    assert got[2].kept == "\n".join(x for i, x in enumerate(other) if i == 10_000 or not x)
+    assert got[2].n_removed == sum(1 for i, x in enumerate(other) if x and i != 10_000)
+
+
+def test_spans_become_disjoint(spark):
+    df = spark.createDataFrame([("a", 1, 3), ("a", 2, 5), ("a", 6, 7), ("a", 9, 9), ("a", 9, 9), ("b", 0, 0)], "doc string, first int, last int")
+    assert sorted(map(tuple, lines.merged(df).collect())) == [("a", 1, 7), ("a", 9, 9), ("b", 0, 0)]
