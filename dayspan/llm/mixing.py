@@ -4,8 +4,10 @@ Every row gets an exponential key scaled by its quality weight (Efraimidis-Spira
 order of their keys are a weighted sample of any length. A source first gives all its rows as
 often as its target holds its whole size, then rows in key order up to the rest of the target.
 
-A source may hold any share of the rows. Its rows are parted into slices of the key, one
-total per slice gives each slice's offset, and only rows of one slice are sorted together.
+A source may hold any share of the rows. Its rows are parted into slices of the key's logarithm,
+one total per slice gives each slice's offset, and only rows of one slice are sorted together.
+Rows of one weight spread over ``PER_OCTAVE`` slices for each doubling of the key whatever the
+weight is, so no slice gets much more than a ``2 / PER_OCTAVE`` part of them.
 
 Null sources are one source, ordered last; null, negative or zero weights count as the
 smallest weight; null sizes are 0; rows with equal ids share a key and are ordered by size;
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_WEIGHT = 1e-6
-SLICES = 4096
+PER_OCTAVE = 1024
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -49,7 +51,7 @@ def source_targets(sources: DataFrame, cycle: list[float], share: float, cap: fl
     return rows.withColumn("target", target).select("source", "source_size", "target")
 
 
-def mix(rows: DataFrame, cycle: list[float], share: float, cap: float, seed: int, slices: int = SLICES) -> DataFrame:
+def mix(rows: DataFrame, cycle: list[float], share: float, cap: float, seed: int, slices: int = PER_OCTAVE) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) of (id, source, size, weight).
 
     The row that crosses the rest of a target is taken if that brings the source nearer to it.
@@ -57,7 +59,7 @@ def mix(rows: DataFrame, cycle: list[float], share: float, cap: float, seed: int
     rows = rows.select(
         "id", "source", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"),
         (-F.log(uniform(F.col("id"), seed)) / F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(LEAST_WEIGHT))).alias("key"),
-    ).withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * slices), F.lit(slices - 1)).cast("int"))
+    ).withColumn("slice", F.floor(F.log2("key") * slices).cast("int"))
     totals = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     targets = source_targets(totals.groupBy("source").agg(F.sum("slice_size").alias("source_size")), cycle, share, cap)
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

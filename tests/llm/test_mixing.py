@@ -55,3 +55,14 @@ def test_weight_favours_and_keys_are_exponential(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, source string, size long, weight double")
     assert mixing.mix(df, [1.0], 1.5, 2.0, 1).count() == 0
+
+
+def test_rows_without_a_weight_share_no_slice(spark):
+    """Whatever the weights are, rows of one weight spread over many slices of the key."""
+    rows = spark.range(20_000).select("id", F.lit("s").alias("source"), F.lit(1).alias("size"), F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 0.0).otherwise(2.0).alias("weight"))
+    key = -F.log(mixing.uniform(F.col("id"), 5)) / F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(mixing.LEAST_WEIGHT))
+    most = rows.groupBy(F.floor(F.log2(key) * mixing.PER_OCTAVE)).count().agg(F.max("count")).first()[0]
+    assert most < 20_000 * 4 / mixing.PER_OCTAVE
+    taken = mixing.mix(rows, [1.0], 0.5, 2.0, 5).groupBy(F.col("id") % 3 == 2).agg(F.sum("taken").alias("n")).collect()
+    got = {r[0]: r.n for r in taken}
+    assert sum(got.values()) == 10_000 and got[True] == rows.filter("weight = 2.0").count()  # the weighted rows come first
