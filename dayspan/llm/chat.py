@@ -6,10 +6,11 @@ read back; inside roles a line feed is ``<\n`` besides.
 
 A conversation's turns have token prefix sums. With ``room`` tokens for new turns, the turns
 that lie inside one stretch of ``room`` tokens make a window, and a turn that lies across the
-end of a stretch is a window of its own: each window is aligned to turns and, unless one turn
-alone is longer, holds at most ``budget`` tokens. Every later window first repeats a leading
-system turn, then the last turns before it that fit ``history`` tokens. The loss mask covers
-assistant texts that are new in their window, so each counts once.
+end of a stretch is a window of its own, however short it is. Every later window first repeats
+a leading system turn if that fits ``budget`` beside the new turns, else leaves it out; then
+come the last turns before it that fit ``history`` tokens and what is left of the budget. So a
+window is aligned to turns and holds at most ``budget`` tokens, or one longer turn and nothing
+else. The loss mask covers assistant texts that are new in their window, so each counts once.
 
 Turns are ordered by turn (nulls first), role and text. Null texts and roles are empty, a null
 conv_id is a conversation of its own, an empty table gives no windows, other columns are not
@@ -63,14 +64,17 @@ def windows(turns: DataFrame, budget: int, history: int) -> DataFrame:
     stretch = F.floor(F.col("before") / room)
     rows = rows.withColumn("key", stretch * 2 + F.when(F.floor((F.col("after") - 1) / room) != stretch, 1).otherwise(0))
     recent = Window.partitionBy("conv_id").orderBy("before").rangeBetween(-history, -1)
-    rows = rows.withColumn("recent", F.collect_list(F.when(~F.col("leads"), F.col("piece"))).over(recent))
+    rows = rows.withColumn("recent", F.collect_list(F.when(~F.col("leads"), F.struct("before", "piece"))).over(recent))
     span = F.struct(F.length(F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"))).alias("skip"), F.length(escaped(F.col("body"))).alias("length"))
     turn = F.struct("place", "piece", (F.col("role") == "assistant").alias("counts"), span.alias("span"))
-    head = F.min_by(F.struct("place", "recent", "system"), "place")
-    made = rows.groupBy("conv_id", "key").agg(F.sort_array(F.collect_list(turn)).alias("turns"), head.alias("head"))
-    first = F.col("head.place") == 1
-    context = F.when(first, F.array().cast("array<string>")).otherwise(F.concat(
-        F.when(F.col("head.system").isNotNull(), F.array("head.system.piece")).otherwise(F.array().cast("array<string>")), F.col("head.recent")))
+    head = F.min_by(F.struct("place", "before", "recent", "system"), "place")
+    made = rows.groupBy("conv_id", "key").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.sum("tokens").alias("new"), head.alias("head"))
+    first, none = F.col("head.place") == 1, F.array().cast("array<string>")
+    fits = F.coalesce(F.col("head.system.tokens") + F.col("new") <= budget, F.lit(False))
+    left = F.lit(budget) - F.col("new") - F.when(fits, F.col("head.system.tokens")).otherwise(0)
+    begin = F.col("head.before") - F.greatest(F.least(F.lit(history), left), F.lit(0))
+    last = F.transform(F.filter("head.recent", lambda t: t["before"] >= begin), lambda t: t["piece"])
+    context = F.when(first, none).otherwise(F.concat(F.when(fits, F.array("head.system.piece")).otherwise(none), last))
     made = made.withColumn("context", context).withColumn("lead", F.length(F.array_join("context", "")))
     reached = F.aggregate(
         "turns", F.struct(F.col("lead").alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("found")),

@@ -22,14 +22,21 @@ pieces AS (
 summed AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS after, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) - tokens AS before,
     place = 1 AND role = 'system' AS leads FROM pieces),
 system AS (SELECT conv_id, tokens AS s_tokens, chars AS s_chars FROM summed WHERE leads),
-roomy AS (SELECT p.*, coalesce(s_chars, 0) AS s_chars, greatest({BUDGET - HISTORY} - coalesce(s_tokens, 0), 1) AS room
+roomy AS (SELECT p.*, coalesce(s_chars, 0) AS s_chars, s_tokens, greatest({BUDGET - HISTORY} - coalesce(s_tokens, 0), 1) AS room
   FROM summed p LEFT JOIN system s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
-keyed AS (
-  SELECT *, (before // room) * 2 + CASE WHEN (after - 1) // room != before // room THEN 1 ELSE 0 END AS key,
-    coalesce(sum(CASE WHEN leads THEN 0 ELSE chars END) OVER (PARTITION BY conv_id ORDER BY before RANGE BETWEEN {HISTORY} PRECEDING AND 1 PRECEDING), 0) AS recent
-  FROM roomy),
-made AS (SELECT conv_id, key, sum(chars) AS chars, min(place) AS place, arg_min(recent, place) AS recent, any_value(s_chars) AS s_chars FROM keyed GROUP BY conv_id, key),
-sizes AS (SELECT conv_id, sum(chars + CASE WHEN place = 1 THEN 0 ELSE recent + s_chars END)::BIGINT AS formatted_chars FROM made GROUP BY conv_id),
+keyed AS (SELECT *, (before // room) * 2 + CASE WHEN (after - 1) // room != before // room THEN 1 ELSE 0 END AS key FROM roomy),
+made AS (
+  SELECT conv_id, key, sum(chars) AS chars, min(place) AS place, min(before) AS start, sum(tokens) AS new,
+    coalesce(any_value(s_tokens) + sum(tokens) <= {BUDGET}, false) AS fits, coalesce(any_value(s_tokens), 0) AS s_tokens, any_value(s_chars) AS s_chars
+  FROM keyed GROUP BY conv_id, key),
+limited AS (
+  SELECT *, start - greatest(least({HISTORY}, {BUDGET} - new - CASE WHEN fits THEN s_tokens ELSE 0 END), 0) AS begin FROM made),
+context AS (
+  SELECT m.conv_id, m.key, sum(r.chars) AS recent FROM limited m JOIN summed r ON m.conv_id IS NOT DISTINCT FROM r.conv_id
+    AND r.before >= m.begin AND r.before < m.start AND NOT r.leads GROUP BY m.conv_id, m.key),
+sizes AS (
+  SELECT m.conv_id, sum(chars + CASE WHEN place = 1 THEN 0 ELSE coalesce(recent, 0) + CASE WHEN fits THEN s_chars ELSE 0 END END)::BIGINT AS formatted_chars
+  FROM limited m LEFT JOIN context c ON m.conv_id IS NOT DISTINCT FROM c.conv_id AND m.key = c.key GROUP BY m.conv_id),
 whole AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
     coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss FROM pieces GROUP BY conv_id)
@@ -58,5 +65,5 @@ def digest(made: DataFrame) -> DataFrame:
 
 @query("op5_chat_windows", SQL)
 def op5_chat_windows(spark: SparkSession, sf: str) -> DataFrame:
-    control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    control = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{CONTROL}'), (-1L, 1L, 'assistant', '{CONTROL}') AS t(conv_id, turn, role, text)")
     return digest(formatted(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)))

@@ -43,14 +43,27 @@ def test_round_trip_and_windows(spark):
         for r in made.withColumn("turns", chat.read_turns(F.col("text"), F.lit(0))).collect():
             tokens = [len(t.text.split()) + chat.TURN_TOKENS for t in r.turns]
             fresh = tokens[r.n_context:]
-            assert fresh and (sum(tokens) <= budget or len(fresh) == 1)
+            assert fresh and (sum(tokens) <= budget or len(tokens) == 1)
             repeated = tokens[1 if r.turns[0].role == "system" else 0:r.n_context] if r.n_context else []
             assert sum(repeated) <= history
             assert r.text.count("<|im_start|>") == r.text.count("<|im_end|>") == len(r.turns)
             assert [s.length for s in r.loss] == sorted([s.length for s in r.loss], key=[s.length for s in r.loss].index)
-            if r.window > 1 and any(x[0] == r.conv_id and x[1] == 0 and x[2] == "system" for x in rows):
+            lead = [len((x[3] or "").split()) + chat.TURN_TOKENS for x in rows if x[0] == r.conv_id and x[1] == 0 and x[2] == "system"]
+            if r.window > 1 and lead and lead[0] + sum(fresh) <= budget:
                 assert r.turns[0].role == "system" and r.n_context >= 1
 
 
+def test_long_system_turn_keeps_the_budget(spark):
+    """A system turn of 1,800 words beside turns of 150, and one that leaves no room at all."""
+    rows = [(1, 0, "system", "rule " * 1800)] + [(1, t, ["assistant", "user"][t % 2], "word " * 150) for t in range(1, 9)]
+    rows += [(2, 0, "system", "rule " * 2040)] + [(2, t, ["assistant", "user"][t % 2], "word " * (900 * t)) for t in range(1, 4)]
+    made = chat.windows(spark.createDataFrame(rows, SCHEMA), 2048, 256).withColumn("turns", chat.read_turns(F.col("text"), F.lit(0))).collect()
+    for r in made:
+        tokens = [len(t.text.split()) + chat.TURN_TOKENS for t in r.turns]
+        assert sum(tokens) <= 2048 or len(tokens) == 1
+    assert max(sum(len(t.text.split()) + chat.TURN_TOKENS for t in r.turns) for r in made if r.conv_id == 1) <= 2048
+    assert all((r.turns[0].role == "system") == (r.conv_id == 1 or r.window == 1) for r in made if r.window > 1 or r.conv_id == 2)
+
+
 def test_empty(spark):
     assert chat.windows(spark.createDataFrame([], SCHEMA), 100, 10).count() == 0
