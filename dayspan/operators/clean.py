@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayspan.functions import columns as X
+from dayspan.spec import PanelSpec
 
 
 def replace_columns(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
@@ -115,3 +116,25 @@ def log1p_safe(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]
     return replace_columns(df, {c: F.log1p(F.col(c)) for c in cols if c not in refused}), refused
 
 
+
+
+def catalogue(df: DataFrame, panel: PanelSpec, suffixes: Sequence[str] = ()) -> DataFrame:
+    """(column, role, suffix, numeric, known, gaps) of every column, in one pass over the table.
+
+    Roles come from the panel's description, ``suffix`` tells derived copies of features apart.
+    """
+    numeric = {c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")}
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(f"_k{i}") for i, c in enumerate(df.columns)])
+    cells = []
+    for i, c in enumerate(df.columns):
+        role, suffix = panel.role_of(c, tuple(suffixes))
+        cells.append(F.struct(
+            F.lit(c).alias("column"), F.lit(role).alias("role"), F.lit(suffix).alias("suffix"), F.lit(int(c in numeric)).alias("numeric"),
+            F.col(f"_k{i}").alias("known"), (F.col("_rows") - F.col(f"_k{i}")).alias("gaps")))
+    return counts.select(F.inline(F.array(*cells)))
+
+
+def columns_of(df: DataFrame, panel: PanelSpec, role: str, suffix: str = "", where: Callable[[str, str], bool] | None = None) -> list[str]:
+    """The table's columns of a role and suffix, in its order; ``where`` looks at (name, type)."""
+    found = [(c, kind) for c, kind in df.dtypes if panel.role_of(c, (suffix,)) == (role, suffix)]
+    return [c for c, kind in found if where is None or where(c, kind)]

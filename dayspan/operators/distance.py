@@ -150,12 +150,11 @@ def smacof(dist: np.ndarray, dims: int, rounds: int = 300, tol: float = 1e-9) ->
     return x
 
 
-def mds_embed(df: DataFrame, key: str, cols: Sequence[str], dims: int = 2, metric: str = "dtw", landmarks: int = 128) -> DataFrame:
-    """Coordinates whose distances follow the metric, one row per person.
+def landmark_mds(df: DataFrame, key: str, cols: Sequence[str], dims: int = 2, metric: str = "dtw", landmarks: int = 128) -> DataFrame:
+    """Landmark scaling: coordinates whose distances follow the metric, one row per person.
 
-    Landmarks are scaled among themselves; every other vector is then placed
-    against the landmarks by the same majorisation. Work is n x landmarks. If
-    there are no more vectors than landmarks this is plain scaling of all.
+    A bounded number of landmarks is scaled among itself; every vector, a landmark or not, is then
+    placed against the landmarks by the same majorisation. Work is vectors x landmarks.
     """
     vectors = distinct_vectors(df, key, cols)
     marks = np.array(pick_landmarks(vectors, landmarks))
@@ -175,10 +174,28 @@ def mds_embed(df: DataFrame, key: str, cols: Sequence[str], dims: int = 2, metri
                     gap = x[:, None, :] - coords[None, :, :]
                     now = np.maximum(np.sqrt((gap**2).sum(axis=2)), 1e-12)
                     x = (coords[None, :, :] + gap * (target / now)[:, :, None]).mean(axis=1)
-                exact = target.min(axis=1) == 0.0
-                x[exact] = coords[target.argmin(axis=1)[exact]]
                 yield pd.DataFrame({"id": pdf["id"], **{n: x[:, i] for i, n in enumerate(names)}})
 
         schema = "id long, " + ", ".join(f"{n} double" for n in names)
         placed = vectors.select("id", "vec").mapInPandas(place, schema)
     return copy_members(df, key, cols).join(placed.withColumnRenamed("id", "rep"), "rep").select(key, *names)
+
+
+def landmark_stress(df: DataFrame, placed: DataFrame, key: str, cols: Sequence[str], metric: str = "dtw", landmarks: int = 128) -> DataFrame:
+    """(pairs, stress): root of the squared misfit over the squared distances, over all pairs of a person and a landmark."""
+    names = [c for c in placed.columns if c != key]
+    rows = df.na.drop("any", subset=list(cols)).join(placed, key).select(F.array(*[F.col(c).cast("double") for c in cols]).alias("vec"), F.array(*names).alias("y"))
+    picks = pick_landmarks(distinct_vectors(df, key, cols), landmarks)
+    marks = np.array(picks)
+    at = rows.join(F.broadcast(df.sparkSession.createDataFrame([(i, m.tolist()) for i, m in enumerate(picks)], "i int, vec array<double>")), "vec").groupBy("i").agg(F.first("y").alias("y")) if picks else None
+    spots = np.array([r["y"] for r in at.orderBy("i").collect()]) if picks else np.zeros((0, len(names)))  # one row per landmark
+
+    def misfit(batches):
+        for pdf in batches:
+            if len(pdf) and len(marks):
+                want = _cross(np.stack(pdf["vec"].to_numpy()), marks, metric)
+                have = _cross(np.stack(pdf["y"].to_numpy()), spots, "euclidean")
+                yield pd.DataFrame({"n": [want.size], "off": [((want - have) ** 2).sum()], "all": [(want**2).sum()]})
+
+    sums = rows.mapInPandas(misfit, "n long, off double, all double").agg(F.sum("n").alias("pairs"), F.sum("off").alias("off"), F.sum("all").alias("all"))
+    return sums.select("pairs", F.sqrt(F.try_divide("off", F.col("all"))).alias("stress"))

@@ -34,8 +34,10 @@ def simulate_missing(
     """Hide ``floor(share * all cells)`` known cells, without repeats.
 
     Returns the masked frame and the truth table (key, column, value). Cells are
-    taken in the order of a hash of (row, column), so a rerun hides the same ones.
+    taken in the order of a hash of (row, column), so a rerun hides the same ones. The table is
+    evaluated once: it is counted, ranked and joined from a checkpoint.
     """
+    df = cut_lineage(df)
     long = F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("_at"), F.col(c).alias("value")) for i, c in enumerate(cols)
     ])
@@ -49,7 +51,8 @@ def simulate_missing(
 def simulate_missing_col(
     df: DataFrame, key: str, col: str, share: float = 0.1, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Hide ``floor(share * rows)`` known values of one column."""
+    """Hide ``floor(share * rows)`` known values of one column; the table is evaluated once."""
+    df = cut_lineage(df)
     known = df.select(key, F.col(col).alias("value")).filter(F.col("value").isNotNull())
     keyed = known.withColumn("_h", stable_hash(F.col(key), seed))
     take = int(df.count() * share)

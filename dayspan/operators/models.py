@@ -345,6 +345,9 @@ def expanding_forecast(df: DataFrame, y: str, x: str, key: str = "num_id", day:
 
 # ---- one model per person -------------------------------------------------------
 
+# Rows of a person that one task sums.
+SALT_ROWS = 50_000
+
 
 def per_person_logistic(
     df: DataFrame,
@@ -357,29 +360,34 @@ def per_person_logistic(
 ) -> DataFrame:
     """A logistic unit per person trained by Adam on all persons at once: (key, w).
 
-    Every step is one grouping of gradient sums by person with partial sums
-    before the shuffle, so a person with very many rows is not one task.
+    Rows are placed once by (person, salt) and stay there. A person has one salt for each
+    ``SALT_ROWS`` rows; the weights are copied to the salts, gradient sums are taken per salt and
+    then per person, so a person with very many rows is many small groups.
     ``w`` holds the coefficients, the intercept last.
     """
     b1, b2, tiny = 0.9, 0.999, 1e-8  # Adam's usual constants
     p = len(cols) + 1
-    rows = cut_lineage(
-        df.na.drop("any", subset=[label, *cols]).select(
-            key, F.col(label).cast("double").alias("_y"), F.array(*[F.col(c).cast("double") for c in cols], F.lit(1.0)).alias("_x")
-        )
+    given = df.na.drop("any", subset=[label, *cols]).select(
+        key, F.col(label).cast("double").alias("_y"), F.array(*[F.col(c).cast("double") for c in cols], F.lit(1.0)).alias("_x")
     )
+    sizes = cut_lineage(given.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_salts", F.ceil(F.col("_n") / SALT_ROWS).cast("int")))
+    spread = given.join(sizes, key).withColumn("_salt", F.pmod(F.xxhash64("_x", "_y", F.monotonically_increasing_id()), F.col("_salts")).cast("int"))
+    rows = cut_lineage(spread.select(key, "_salt", "_y", "_x").repartition(key, "_salt"))
     zeros = F.array(*[F.lit(0.0)] * p)
-    state = rows.select(key).distinct().select(key, F.array(*[F.lit(float(start))] * p).alias("w"), zeros.alias("m"), zeros.alias("v"))
+    state = sizes.select(key, "_n", "_salts", F.array(*[F.lit(float(start))] * p).alias("w"), zeros.alias("m"), zeros.alias("v"))
     for t in range(1, steps + 1):
+        copies = state.select(key, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), "w")
         score = F.aggregate(F.zip_with("_x", "w", lambda x, w: x * w), F.lit(0.0), lambda s, z: s + z)
         gap = 1 / (1 + F.exp(-score)) - F.col("_y")
-        grads = rows.join(state.select(key, "w"), key).groupBy(key).agg(*[F.avg(gap * F.col("_x")[i]).alias(f"_g{i}") for i in range(p)])
+        parts = rows.join(copies, [key, "_salt"]).groupBy(key, "_salt").agg(*[F.sum(gap * F.col("_x")[i]).alias(f"_g{i}") for i in range(p)])
+        grads = parts.groupBy(key).agg(*[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(p)])
         g = grads.select(key, F.array(*[f"_g{i}" for i in range(p)]).alias("g"))
+        both = state.join(g, key).withColumn("g", F.transform("g", lambda x: x / F.col("_n")))
         m = F.zip_with("m", "g", lambda a, b: b1 * a + (1 - b1) * b)
         v = F.zip_with("v", "g", lambda a, b: b2 * a + (1 - b2) * b * b)
-        moved = state.join(g, key).select(key, "w", m.alias("m"), v.alias("v"))
+        moved = both.select(key, "_n", "_salts", "w", m.alias("m"), v.alias("v"))
         push = F.zip_with("m", "v", lambda a, b: a / (1 - b1**t) / (F.sqrt(b / (1 - b2**t)) + tiny))
-        state = moved.select(key, F.zip_with("w", push, lambda w, d: w - rate * d).alias("w"), "m", "v")
+        state = moved.select(key, "_n", "_salts", F.zip_with("w", push, lambda w, d: w - rate * d).alias("w"), "m", "v")
         if t % 3 == 0 or t == steps:
             state = cut_lineage(state)
     return state.select(key, "w")

@@ -6,10 +6,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayspan.functions.sums import summed
 from dayspan.operators.correlation import _long, corr_matrix, symmetric
 from dayspan.session import cut_lineage
 
@@ -43,8 +43,8 @@ def collinear_drops(df: DataFrame, target: str, cols: Sequence[str], threshold:
     return judged.select(loser.alias("variable")).distinct()
 
 
-# Row parts a worker looks at together, and slices in which the sums of all workers meet.
-PART_ROWS, SUM_SLICES = 256, 16
+# Rows a worker looks at together.
+PART_ROWS = 256
 
 
 def poisson_cuts(rate: float, bits: int = 30) -> np.ndarray:
@@ -83,36 +83,6 @@ def _columns(w: np.ndarray, fold: np.ndarray, folds: int, penalties: int) -> np.
     return np.repeat(parts, penalties, 2).reshape(len(w), -1)
 
 
-def _summed(rows: DataFrame, work, size: int) -> np.ndarray:
-    """Sum of one vector per worker: the workers' vectors are cut into slices, which meet in tasks of their own."""
-    edges = np.linspace(0, size, SUM_SLICES + 1).astype(int)
-
-    def parts(batches):
-        total = np.zeros(size)
-        for batch in batches:
-            x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
-            y, keys = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            for i in range(0, batch.num_rows, PART_ROWS):
-                cut = slice(i, i + PART_ROWS)
-                total += work(x[cut], y[cut], keys[cut])
-        cells = pa.array([total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(range(SUM_SLICES), pa.int32()), cells], names=["slice", "part"])
-
-    def sums(batches):
-        total = {}
-        for batch in batches:
-            for s, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total[s] = total.get(s, 0) + np.frombuffer(part.as_buffer())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "part"])
-
-    shape = "slice int, part binary"
-    found = rows.mapInArrow(parts, shape).repartition(SUM_SLICES, "slice").mapInArrow(sums, shape).collect()  # one vector in all
-    out = np.zeros(size)
-    for r in found:
-        out[edges[r["slice"]]:edges[r["slice"] + 1]] = np.frombuffer(r["part"])
-    return out
-
-
 def stability_select(
     df: DataFrame,
     label: str,
@@ -152,7 +122,7 @@ def stability_select(
         w = _columns(*draws(keys), folds, n_pen)
         return np.concatenate([w.sum(0), (xs * xs).sum(1) @ w])
 
-    got = _summed(base, sizes, 2 * fits)
+    got = summed(base, sizes, 2 * fits, PART_ROWS)
     total = np.maximum(got[:fits], 1e-12)
     step = 4.0 * total / np.maximum(got[fits:], 1e-12)  # a quarter of the trace bounds the curvature
     beta = np.zeros((p + 1, fits))
@@ -165,7 +135,7 @@ def stability_select(
             w *= 1 / (1 + np.exp(-np.clip(xs @ at, -40, 40))) - ys[:, None]
             return (xs.T @ w).ravel()
 
-        slope = _summed(base, gradient, (p + 1) * fits).reshape(p + 1, fits) / total
+        slope = summed(base, gradient, (p + 1) * fits, PART_ROWS).reshape(p + 1, fits) / total
         new = at - step * slope
         shrink = step * strength
         new[:p] = np.sign(new[:p]) * np.maximum(np.abs(new[:p]) - shrink, 0.0)
@@ -187,7 +157,7 @@ def stability_select(
             seen[:, f] = here.sum(0)
         return np.concatenate([out.ravel(), seen.ravel()])
 
-    judged = _summed(base, hits, samples * folds * (n_pen + 1))
+    judged = summed(base, hits, samples * folds * (n_pen + 1), PART_ROWS)
     right = judged[:samples * folds * n_pen].reshape(samples, folds, n_pen) / np.maximum(judged[samples * folds * n_pen:], 1e-12).reshape(samples, folds, 1)
     order = np.argsort(-np.array(penalties, float), kind="stable")
     best = order[right.mean(1)[:, order].argmax(1)]

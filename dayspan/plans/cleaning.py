@@ -318,3 +318,32 @@ def survey_week_filter(spark, sf):
     survey = F.when(F.col("event_type") == "view", "phq9").when(F.col("event_type") == "click", "sds").when(F.col("event_type") == "signup", "sleep").otherwise("gic")
     s = e.join(weeks, ["num_id", "dt"]).withColumn("survey", survey)
     return timeline.survey_weeks(s, spec.SURVEY_WEEKS, "survey").groupBy("survey", "week").agg(F.sum("n").alias("n"))
+
+
+# The event panel with indicator copies of its sensors.
+PANEL = spec.PanelSpec(features=tuple(inp.SENSORS), targets=("purchase",))
+_ROLE_OF = {"num_id": ("id", "", 1), "dt": ("id", "", 0), "purchase": ("target", "", 1), **{c: ("feature", "", 1) for c in inp.SENSORS},
+            **{f"{c}_indicator": ("feature", "_indicator", 1) for c in inp.SENSORS}}
+
+
+@query(
+    "column_catalogue",
+    f"WITH {inp.SQL_DAY}, c AS (SELECT *, " + ", ".join(f"coalesce({c} > 0, false) AS {c}_indicator" for c in inp.SENSORS) + " FROM panel) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column, '{role}' AS role, '{suffix}' AS suffix, {numeric} AS numeric, count({c}) AS known, count(*) - count({c}) AS gaps FROM c"
+        for c, (role, suffix, numeric) in _ROLE_OF.items()),
+)
+def column_catalogue(spark, sf):
+    p = clean.indicators(inp.panel_day(spark, sf), inp.SENSORS)
+    return clean.catalogue(p.select(*_ROLE_OF), PANEL, ["_indicator"])
+
+
+@query(
+    "role_columns",
+    f"WITH {inp.SQL_DAY} SELECT num_id, dt, " + ", ".join(f"CAST(coalesce({c} > 0, false) AS INTEGER) AS {c}_indicator" for c in inp.SENSORS) + ", purchase FROM panel",
+)
+def role_columns(spark, sf):
+    """Ids, indicator copies of the features and the targets, chosen by role."""
+    p = clean.indicators(inp.panel_day(spark, sf), clean.columns_of(inp.panel_day(spark, sf), PANEL, "feature"))
+    chosen = [c for role, suffix in (("id", ""), ("feature", "_indicator"), ("target", "")) for c in clean.columns_of(p, PANEL, role, suffix)]
+    return p.select(*chosen)

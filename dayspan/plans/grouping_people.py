@@ -66,12 +66,18 @@ def copy_members(spark, sf):
 
 @query("mds_embed")
 def mds_embed(spark, sf):
-    return di.mds_embed(series(spark, sf), "num_id", W, landmarks=64)
+    return di.landmark_mds(series(spark, sf), "num_id", W)
+
+
+@query("mds_stress")
+def mds_stress(spark, sf):
+    s = series(spark, sf)
+    return di.landmark_stress(s, di.landmark_mds(s, "num_id", W), "num_id", W)
 
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf):
-    return cl.kmeans_sweep(inp.vectors(spark, sf), [f"x{i}" for i in range(1, inp.WIDTH + 1)], range(1, 11))
+    return cl.kmeans_sweep(inp.vectors(spark, sf), [f"x{i}" for i in range(1, inp.WIDTH + 1)], range(2, 200))
 
 
 _X = [f"x{i}" for i in range(1, inp.WIDTH + 1)]

@@ -78,13 +78,13 @@ def rf_classifier(spark, sf):
 
 @query("walk_forward")
 def walk_forward(spark, sf):
-    out = mo.walk_forward(panel_rows(spark, sf), inp.SENSORS, "purchase", share=0.15, trees=10)
+    out = mo.walk_forward(panel_rows(spark, sf), inp.SENSORS, "purchase", share=0.15)
     return mo.walk_forward_report(out)
 
 
 @query("walk_forward_by_person")
 def walk_forward_by_person(spark, sf):
-    out = mo.walk_forward(panel_rows(spark, sf), inp.SENSORS, "purchase", share=0.15, trees=10)
+    out = mo.walk_forward(panel_rows(spark, sf), inp.SENSORS, "purchase", share=0.15)
     return mo.walk_forward_report(out, ["num_id"])
 
 

@@ -73,6 +73,21 @@ class PanelSpec:
     def ids(self) -> tuple[str, ...]:
         return (self.key, self.date, self.week, self.day)
 
+    @property
+    def roles(self) -> dict[str, tuple[str, ...]]:
+        """Columns by role; a column stands under its first role."""
+        return {"id": (*self.ids, self.cohort), "target": self.targets, "demographic": self.demographics, "feature": self.features}
+
+    def role_of(self, column: str, suffixes: tuple[str, ...] = ()) -> tuple[str, str]:
+        """(role, suffix) of a column; copies of a feature carry one of the suffixes. Unknown columns have role ``other``."""
+        for role, names in self.roles.items():
+            if column in names:
+                return role, ""
+        for suffix in suffixes:
+            if suffix and column in self.with_suffix(suffix):
+                return "feature", suffix
+        return "other", ""
+
     def with_suffix(self, suffix: str) -> tuple[str, ...]:
         """Names of derived copies, for example ``_hr`` or ``_indicator``."""
         return tuple(f"{c}{suffix}" for c in self.features)
