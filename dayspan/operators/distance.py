@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from dayspan.functions.columns import stable_hash
+from dayspan.session import cut_lineage
 
 
 def distinct_vectors(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
@@ -82,13 +83,45 @@ def grid_axes(metric: str, width: int) -> tuple[int, ...]:
     return (1, width)
 
 
+# Rows of a grid cell that one task pairs with their neighbours.
+CELL_ROWS = 4_000
+
+
+def envelope_gap(a: Column, b: Column) -> Column:
+    """Lower bound of the warped distance: every value meets one of the other series, so it lies at least as far as from its range."""
+    def outside(x, y):
+        low, high = F.array_min(y), F.array_max(y)
+        return F.aggregate(x, F.lit(0.0), lambda s, v: s + F.greatest(F.lit(0.0), v - high, low - v))
+
+    return F.greatest(outside(a, b), outside(b, a))
+
+
+def _parted(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``lot``: crowded cells are cut into lots of the left side, and the right side goes to each of them.
+
+    A third of all rows in one cell is then as many tasks as it has lots of ``CELL_ROWS`` rows.
+    """
+    crowded = cut_lineage(a.groupBy(F.col("cell").alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CELL_ROWS))
+    if crowded.isEmpty():
+        return a.withColumn("lot", F.lit(0)), b.withColumn("lot", F.lit(0))
+    lots = F.coalesce(F.ceil(F.col("_n") / CELL_ROWS).cast("int"), F.lit(1))
+    sides = [t.join(crowded, F.col("cell") == F.col("_cell"), "left").withColumn("_lots", lots).drop("_cell", "_n") for t in (a, b)]
+    return (
+        sides[0].withColumn("lot", F.pmod(F.xxhash64("id_a"), F.col("_lots")).cast("int")).drop("_lots"),
+        sides[1].withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1))).drop("_lots"),
+    )
+
+
 def near_pairs(left: DataFrame, right: DataFrame, eps: float, metric: str, width: int, same: bool) -> DataFrame:
     """(id_a, id_b, d) with d <= eps, from equal or neighbouring grid cells.
 
-    The cell side is ``eps`` on the bounding axes, so no near pair is missed. With
-    ``same`` both sides are one table: each pair comes once and id_a < id_b.
+    The cell side is ``eps`` on the bounding axes, so no near pair is missed; crowded cells are
+    spread over tasks. Warped distances are computed only where the ends and the ranges of the
+    two series allow them. With ``same`` both sides are one table: each pair comes once and id_a < id_b.
     """
     axes = grid_axes(metric, width)
+    if metric == "euclidean" and width > 2:
+        axes = (1, (width + 1) // 2, width)
     cell = [F.floor(F.element_at("vec", i) / F.lit(float(eps))) for i in axes]
     steps = list(product((-1, 0, 1), repeat=len(axes)))
     if same:
@@ -97,14 +130,15 @@ def near_pairs(left: DataFrame, right: DataFrame, eps: float, metric: str, width
     a = left.select(F.col("id").alias("id_a"), F.col("vec").alias("va"), F.array(*cell).alias("cell"))
     b = right.select(F.col("id").alias("id_b"), F.col("vec").alias("vb"), F.array(*cell).alias("home"), F.explode(near).alias("step"))
     b = b.select("id_b", "vb", F.zip_with("home", "step", lambda x, y: x + y).alias("cell"), F.aggregate("step", F.lit(0).cast("long"), lambda s, x: s + F.abs(x)).alias("shift"))
-    pairs = a.join(b, "cell")
+    a, b = _parted(a, b)
+    pairs = a.join(b, ["cell", "lot"])
     if same:
         pairs = pairs.filter((F.col("shift") > 0) | (F.col("id_a") < F.col("id_b")))
     else:
         pairs = pairs.filter(F.col("id_a") != F.col("id_b"))
-    bound = sum(F.abs(F.element_at("va", i) - F.element_at("vb", i)) for i in axes) if metric == "dtw" else None
-    if bound is not None:
-        pairs = pairs.filter(bound <= eps)
+    if metric == "dtw":
+        ends = sum(F.abs(F.element_at("va", i) - F.element_at("vb", i)) for i in axes)
+        pairs = pairs.filter((ends <= eps) & (envelope_gap(F.col("va"), F.col("vb")) <= eps))
     out = pairs.withColumn("d", metric_column(metric, F.col("va"), F.col("vb"))).filter(F.col("d") <= eps)
     if same:
         return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "d")

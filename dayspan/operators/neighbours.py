@@ -20,6 +20,7 @@ from dayspan.session import cut_lineage
 
 # Rows of one side of a block; a block pair is one task's distance matrix.
 BLOCK_ROWS = 4_000
+LEAST_PIVOTS, MOST_PIVOTS = 8, 512
 
 
 def _to_pivots(rows: DataFrame, key: str, pivots: np.ndarray, extra: str = "") -> DataFrame:
@@ -30,17 +31,23 @@ def _to_pivots(rows: DataFrame, key: str, pivots: np.ndarray, extra: str = "") -
             if pdf.empty:
                 continue
             x = np.stack(pdf["vec"].to_numpy())
-            d = np.sqrt(np.maximum(0.0, ((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)))
+            d = np.concatenate([np.sqrt(((x[i : i + 128, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)) for i in range(0, len(x), 128)])
             yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), reach=d.min(axis=1), away=list(d))
 
     return rows.mapInPandas(assign, f"id long, vec array<double>{extra}, cell int, reach double, away array<double>")
 
 
-def nearest(train: DataFrame, test: DataFrame, key: str, cols: Sequence[str], label: str, k: int = 5, pivots: int = 32) -> DataFrame:
-    """(id, train_id, label, d): the k nearest training rows of every test row; ties by train key."""
+def nearest(train: DataFrame, test: DataFrame, key: str, cols: Sequence[str], label: str, k: int = 5, pivots: int | None = None) -> DataFrame:
+    """(id, train_id, label, d): the k nearest training rows of every test row; ties by train key.
+
+    Without ``pivots`` there are as many as the square root of the training rows, so cells and
+    pivots grow together; between ``LEAST_PIVOTS`` and ``MOST_PIVOTS``, which bounds what goes to the tasks.
+    """
     vec = F.array(*[F.col(c).cast("double") for c in cols]).alias("vec")
     tr = train.na.drop("any", subset=list(cols)).select(F.col(key).cast("long").alias("id"), vec, F.col(label).cast("long").alias("label"))
     te = test.na.drop("any", subset=list(cols)).select(F.col(key).cast("long").alias("id"), vec)
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(tr.count() ** 0.5)))
     marks = np.array([r["vec"] for r in tr.orderBy(stable_hash(F.col("id"), 11), "id").limit(pivots).collect()])
     empty = "id long, train_id long, label long, d double"
     if len(marks) == 0:
