@@ -8,21 +8,32 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayspan.functions.sums import summed
+
+# Columns up to which the covariance is aggregated as expressions, and rows a worker multiplies together.
+WIDE, PART_ROWS = 16, 4096
+
 
 def pca_fit(df: DataFrame, cols: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, loadings (k x p) and explained variance shares; the covariance is one aggregate.
+    """Means, loadings (k x p) and explained variance shares.
 
-    The sign of each component makes its largest loading positive.
+    The covariance is one aggregate, or for more than ``WIDE`` columns, where that would be
+    thousands of expressions, one matrix product per part of rows. The sign of each component
+    makes its largest loading positive.
     """
     p = len(cols)
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    mu = np.array([means[c] if means[c] is not None else 0.0 for c in cols])
-    dev = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, mu)]
-    cells = [(i, j) for i in range(p) for j in range(i, p)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(dev[i] * dev[j]).alias(f"{i}|{j}") for i, j in cells]).first()
+    means = df.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)]).first()
+    n = means["_n"]
+    mu = np.array([means[f"_m{i}"] if means[f"_m{i}"] is not None else 0.0 for i in range(p)])
+    dev = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(cols, mu)]
     cov = np.zeros((p, p))
-    for i, j in cells:
-        cov[i, j] = cov[j, i] = (row[f"{i}|{j}"] or 0.0) / max(1, row["n"] - 1)
+    if p > WIDE:
+        cov = summed(df.select(F.array(*dev).alias("x")), lambda x: (x.T @ x).ravel(), p * p, PART_ROWS).reshape(p, p) / max(1, n - 1)
+    else:
+        cells = [(i, j) for i in range(p) for j in range(i, p)]
+        row = df.agg(*[F.sum(dev[i] * dev[j]).alias(f"{i}|{j}") for i, j in cells]).first()
+        for i, j in cells:
+            cov[i, j] = cov[j, i] = (row[f"{i}|{j}"] or 0.0) / max(1, n - 1)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][:k]
     load = vectors[:, order].T

@@ -11,7 +11,7 @@ from dayspan.operators import distance as di
 from dayspan.operators import encode, merge
 from dayspan.plans import inputs as inp
 from dayspan.plans.base import query
-from dayspan.plans.structure import _filled
+from dayspan.plans.structure import _PC, _filled
 
 WEEKS = (0, 1, 2, 3, 4)
 W = [f"w{w}" for w in WEEKS]
@@ -150,14 +150,57 @@ def variable_distances(spark, sf):
     return co.mean_distance(long)
 
 
-@query("cluster_variables")
+def _rows_sql() -> str:
+    """Rows of the mean distance matrix, its diagonal included: (a, b, v) by place of the variables."""
+    n = len(inp.FEATURES)
+    off = " UNION ALL ".join(
+        f"SELECT {i} AS a, {j} AS b, 1 - avg(r) AS v FROM pc WHERE var_i = '{inp.FEATURES[i]}' AND var_j = '{inp.FEATURES[j]}'" for i in range(n) for j in range(i + 1, n)
+    )
+    own = " UNION ALL ".join(f"SELECT {i} AS a, {i} AS b, 1 - avg(CASE WHEN lo < hi THEN 1.0 ELSE 0.0 END) AS v FROM (SELECT num_id, min({c}) AS lo, max({c}) AS hi FROM z WHERE num_id IN (SELECT num_id FROM alive) GROUP BY 1)" for i, c in enumerate(inp.FEATURES))
+    return f"{_PC}, off AS ({off}), m AS MATERIALIZED (SELECT a, b, v FROM off UNION ALL SELECT b, a, v FROM off UNION ALL {own})"
+
+
+def _average_steps(merges: int) -> str:
+    """Cluster of each variable after each merge of the two with the least mean distance; a cluster is named by its first member."""
+    steps = ["gap AS MATERIALIZED (SELECT x.a AS i, y.a AS j, sqrt(sum((x.v - y.v) ** 2)) AS d FROM m x JOIN m y ON x.b = y.b GROUP BY 1, 2)", "c0 AS (SELECT DISTINCT a AS item, a AS c FROM m)"]
+    for k in range(merges):
+        steps.append(
+            f"w{k} AS MATERIALIZED (SELECT x.c AS i, y.c AS j, avg(d) AS d FROM gap JOIN c{k} x ON x.item = gap.i JOIN c{k} y ON y.item = gap.j WHERE x.c < y.c GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 1), "
+            f"c{k + 1} AS MATERIALIZED (SELECT item, CASE WHEN c = (SELECT j FROM w{k}) THEN (SELECT i FROM w{k}) ELSE c END AS c FROM c{k})"
+        )
+    return ", ".join(steps)
+
+
+def _ward_steps() -> str:
+    """All merges by the growth of squared distances to the centroids; ``node`` numbers merged clusters after the variables."""
+    n = len(inp.FEATURES)
+    steps = ["c0 AS (SELECT DISTINCT a AS item, a AS c, a AS node FROM m)"]
+    for k in range(n - 1):
+        steps.append(
+            f"n{k} AS MATERIALIZED (SELECT c, any_value(node) AS node, count(*) AS n FROM c{k} GROUP BY c), "
+            f"g{k} AS MATERIALIZED (SELECT c, b, avg(v) AS v FROM c{k} JOIN m ON m.a = c{k}.item GROUP BY 1, 2), "
+            f"w{k} AS MATERIALIZED (SELECT p.c AS i, q.c AS j, any_value(p.node) AS a, any_value(q.node) AS b, any_value(p.n + q.n) AS size, "
+            f"sqrt(any_value(2.0 * p.n * q.n / (p.n + q.n)) * sum((x.v - y.v) ** 2)) AS d FROM n{k} p JOIN n{k} q ON p.c < q.c JOIN g{k} x ON x.c = p.c JOIN g{k} y ON y.c = q.c AND x.b = y.b GROUP BY 1, 2 ORDER BY d, 1, 2 LIMIT 1), "
+            f"c{k + 1} AS MATERIALIZED (SELECT item, CASE WHEN c = (SELECT j FROM w{k}) THEN (SELECT i FROM w{k}) ELSE c END AS c, "
+            f"CASE WHEN c IN (SELECT i FROM w{k} UNION ALL SELECT j FROM w{k}) THEN {n + k} ELSE node END AS node FROM c{k})"
+        )
+    return ", ".join(steps)
+
+
+_NAMED = "CASE item " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(inp.FEATURES)) + " END"
+
+
+@query("cluster_variables", f"WITH {_rows_sql()}, {_average_steps(len(inp.FEATURES) - 3)} SELECT {_NAMED} AS variable, dense_rank() OVER (ORDER BY c) - 1 AS cluster FROM c{len(inp.FEATURES) - 3}")
 def cluster_variables(spark, sf):
     return cl.cluster_variables(variable_distances(spark, sf), inp.FEATURES, 3, "average")[0]
 
 
-@query("variable_merge_tree")
+@query(
+    "variable_merge_tree",
+    f"WITH {_rows_sql()}, {_ward_steps()} " + " UNION ALL ".join(f"SELECT {k} AS step, a AS item_a, b AS item_b, round(d, 6) AS height, size FROM w{k}" for k in range(len(inp.FEATURES) - 1)),
+)
 def variable_merge_tree(spark, sf):
-    return cl.cluster_variables(variable_distances(spark, sf), inp.FEATURES, 3, "ward")[1]
+    return inp.rounded(cl.cluster_variables(variable_distances(spark, sf), inp.FEATURES, 3, "ward")[1], ["height"])
 
 
 def coded_demo(spark, sf):

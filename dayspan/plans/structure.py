@@ -179,9 +179,33 @@ def pca_model(spark, sf):
     return inp.rounded(reduction.pca_by_cluster(p, _CL, ["num_id", "week"])[1], ["loading", "mean", "explained"])
 
 
-@query("pca2_projection")
+def _leading_sql(name: str, matrix: str, squarings: int = 26) -> str:
+    """Leading eigenvector of a matrix (i, j, v): squared again and again it becomes the outer product of it."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {matrix} WHERE i = j) AS v FROM {matrix})"]
+    for k in range(squarings):
+        steps.append(
+            f"{name}s{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}{k} a JOIN {name}{k} b ON a.j = b.i GROUP BY 1, 2), "
+            f"{name}{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {name}s{k} WHERE i = j) AS v FROM {name}s{k})"
+        )
+    last = f"{name}{squarings}"
+    steps.append(
+        f"{name}u AS (SELECT i, v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j)), "
+        f"{name} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) FROM {name}u) * (SELECT sign(arg_max(v, abs(v))) FROM {name}u) AS v FROM {name}u)"
+    )
+    return ", ".join(steps)
+
+
+@query(
+    "pca2_projection",
+    f"WITH lng AS (SELECT vec_id, label, unnest(range(1, {inp.WIDTH + 1})) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), mu AS (SELECT i, avg(x) AS m FROM lng GROUP BY i), "
+    "cen AS MATERIALIZED (SELECT vec_id, label, i, x - m AS x FROM lng JOIN mu USING (i)), cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM cen a JOIN cen b USING (vec_id) GROUP BY 1, 2), "
+    f"{_leading_sql('e', 'cov')}, lam AS (SELECT sum(a.v * c.v * b.v) AS l FROM cov c JOIN e a ON c.i = a.i JOIN e b ON c.j = b.i), "
+    "rest AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT l FROM lam) * a.v * b.v AS v FROM cov c JOIN e a ON c.i = a.i JOIN e b ON c.j = b.i), "
+    f"{_leading_sql('f', 'rest')} SELECT vec_id, CAST(label AS BIGINT) AS label, round(sum(x * e.v), 5) AS PC1, round(sum(x * f.v), 5) AS PC2 FROM cen JOIN e USING (i) JOIN f USING (i) GROUP BY 1, 2",
+)
 def pca2_projection(spark, sf):
-    return reduction.project(inp.vectors(spark, sf), [f"x{i}" for i in range(1, inp.WIDTH + 1)], ["vec_id", "label"], 2)
+    out = reduction.project(inp.vectors(spark, sf), [f"x{i}" for i in range(1, inp.WIDTH + 1)], ["vec_id", "label"], 2)
+    return out.select("vec_id", "label", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("PC1", "PC2")])
 
 
 @query("keep_from_group", f"WITH {inp.SQL_DAY} SELECT num_id, dt, round(click, 6) AS click, round(purchase, 6) AS purchase FROM panel")
