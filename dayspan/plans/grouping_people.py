@@ -12,6 +12,7 @@ from dayspan.operators import encode, merge
 from dayspan.plans import inputs as inp
 from dayspan.plans.base import query
 from dayspan.plans.structure import _PC, _filled
+from dayspan.session import cut_lineage
 
 WEEKS = (0, 1, 2, 3, 4)
 W = [f"w{w}" for w in WEEKS]
@@ -97,14 +98,14 @@ _DB = (
 
 @query("silhouette", f"WITH {inp.SQL_VEC}, {_SIL} SELECT round(silhouette, 6) AS silhouette FROM sil")
 def silhouette(spark, sf):
-    q = cl.cluster_quality(inp.vectors(spark, sf), "label", _X)
-    return inp.rounded(q.select("silhouette"), ["silhouette"])
+    value = cl.silhouette(inp.vectors(spark, sf), "label", _X)
+    return inp.rounded(spark.createDataFrame([(value,)], "silhouette double"), ["silhouette"])
 
 
 @query("davies_bouldin", f"WITH {inp.SQL_VEC}, {_DB} SELECT round(davies_bouldin, 6) AS davies_bouldin FROM dbi")
 def davies_bouldin(spark, sf):
-    q = cl.cluster_quality(inp.vectors(spark, sf), "label", _X)
-    return inp.rounded(q.select("davies_bouldin"), ["davies_bouldin"])
+    value = cl.davies_bouldin(inp.vectors(spark, sf), "label", _X)
+    return inp.rounded(spark.createDataFrame([(value,)], "davies_bouldin double"), ["davies_bouldin"])
 
 
 EPS_SWEEP = (2.0, 4.0, 8.0)
@@ -203,6 +204,22 @@ def variable_merge_tree(spark, sf):
     return inp.rounded(cl.cluster_variables(variable_distances(spark, sf), inp.FEATURES, 3, "ward")[1], ["height"])
 
 
+_MERGED = f"c{len(inp.FEATURES) - 3}"
+
+
+@query(
+    "silhouette_given",
+    f"WITH {_rows_sql()}, {_average_steps(len(inp.FEATURES) - 3)}, k AS (SELECT m.a, x.c AS own, y.c AS theirs, avg(v) AS d FROM m JOIN {_MERGED} x ON x.item = m.a JOIN {_MERGED} y ON y.item = m.b WHERE m.a <> m.b GROUP BY 1, 2, 3), "
+    "s AS (SELECT a, max(CASE WHEN own = theirs THEN d END) AS i, min(CASE WHEN own <> theirs THEN d END) AS o FROM k GROUP BY 1) "
+    f"SELECT count(*) AS items, (SELECT count(DISTINCT c) FROM {_MERGED}) AS clusters, round(avg(CASE WHEN i IS NULL OR o IS NULL OR greatest(i, o) = 0 THEN 0 ELSE (o - i) / greatest(i, o) END), 6) AS silhouette FROM s",
+)
+def silhouette_given(spark, sf):
+    """How well three groups of variables fit the mean correlation distance they were made from."""
+    far = cut_lineage(variable_distances(spark, sf))
+    labels = cl.cluster_variables(far, inp.FEATURES, 3, "average")[0]
+    return inp.rounded(cl.silhouette_given(far, labels, "var_i", "var_j", "d", "variable"), ["silhouette"])
+
+
 def coded_demo(spark, sf):
     """Label-encoded demographics, the table that persons are clustered on."""
     coded, _ = encode.label_encode(inp.demo(spark, sf).select("num_id", "c_mktsegment", "n_name", "r_name"), ["c_mktsegment", "n_name", "r_name"])
