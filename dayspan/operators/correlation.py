@@ -58,8 +58,12 @@ def _own(r: Column, same: Column) -> Column:
 
 def _corr(x: Column, y: Column) -> Column:
     """Pearson's r in [-1, 1]; null if either side does not vary or fewer than two rows are complete."""
-    r = F.nanvl(F.corr(x, y), F.lit(None).cast("double"))
-    return F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    both = x.isNotNull() & y.isNotNull()
+    sides = [F.when(both, c) for c in (x, y)]
+    spread = F.sqrt(F.var_pop(sides[0])) * F.sqrt(F.var_pop(sides[1]))
+    r = F.nanvl(F.try_divide(F.covar_pop(x, y), spread), F.lit(None).cast("double"))
+    varies = (F.min(sides[0]) < F.max(sides[0])) & (F.min(sides[1]) < F.max(sides[1]))  # a mean of equal values is rounded
+    return F.when(varies & r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], diagonal: bool = False) -> DataFrame:
