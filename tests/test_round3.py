@@ -6,6 +6,8 @@ import math
 import numpy as np
 
 from dayspan.operators import clean
+from dayspan.operators import clustering as cl
+from dayspan.operators import distance as di
 from dayspan.operators import timeline as tl
 
 
@@ -37,3 +39,19 @@ def test_rates_over_zero_hours_can_be_infinite(spark):
     df = spark.createDataFrame([(1, 4.0, 2.0), (2, 4.0, 0.0), (3, 0.0, 0.0), (4, None, 0.0), (5, 4.0, None)], "i int, x double, h double")
     got = {r["i"]: r["x_hr"] for r in clean.per_hour(df, ["x"], "h", finite=False).collect()}
     assert (got[1], got[2], got[4], got[5]) == (2.0, math.inf, None, None) and math.isnan(got[3])
+
+
+def test_density_clustering_returns_no_near_pairs(spark, monkeypatch):
+    """Week counts at a radius that covers most of them: labels come without a row per near pair, and one part without comparing all."""
+    monkeypatch.setattr(di, "near_pairs", None)
+    rng = np.random.default_rng(3)
+    x = np.unique(rng.poisson(6, (400, 3)), axis=0).astype(float)
+    compared = []
+    plain = di.near_rows
+    monkeypatch.setattr(di, "near_rows", lambda a, b, eps, metric: compared.append(len(a) * len(b)) or plain(a, b, eps, metric))
+    assert set(cl._parts_within(np.arange(len(x)), x, 8.0, "dtw")) == {0} and sum(compared) < len(x) ** 2 / 2
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    got = {r["id"]: r["cluster"] for r in cl.dbscan(df, "id", ["a", "b", "c"], 8.0, 10).collect()}
+    d = np.array([di.dtw_matrix(np.broadcast_to(r, x.shape), x) for r in x])
+    core = (d <= 8).sum(1) >= 10
+    assert all((got[i] >= 0) == bool(core[i] or (d[i][core] <= 8).any()) for i in range(len(x)))
