@@ -55,3 +55,28 @@ def test_density_clustering_returns_no_near_pairs(spark, monkeypatch):
     d = np.array([di.dtw_matrix(np.broadcast_to(r, x.shape), x) for r in x])
     core = (d <= 8).sum(1) >= 10
     assert all((got[i] >= 0) == bool(core[i] or (d[i][core] <= 8).any()) for i in range(len(x)))
+
+
+def test_rows_are_added_at_their_place_of_each_model():
+    rng = np.random.default_rng(2)
+    at, rows = np.column_stack([rng.integers(0, 3, 50), 3 + rng.integers(0, 9, 50)]), rng.normal(size=(50, 4))
+    got, want = np.zeros((12, 4)), np.zeros((12, 4))
+    cl._add_by_place(got, at, rows)
+    for m in range(2):
+        np.add.at(want, at[:, m], rows)
+    assert np.allclose(got, want)
+
+
+def test_sweep_keeps_its_pool_full(spark, monkeypatch):
+    """Waiting models start as others end, so a small pool costs few scans more; best figures do not depend on the pool."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(60, 2))], "a double, b double")
+    scans, plain = [], cl.summed
+    monkeypatch.setattr(cl, "summed", lambda *a: scans.append(1) or plain(*a))
+    wide = cl.kmeans_sweep(df, ["a", "b"], range(2, 5), inits=2).collect()
+    at_once = len(scans)
+    monkeypatch.setattr(cl, "SWEEP_CENTRES", 9)
+    scans.clear()
+    narrow = cl.kmeans_sweep(df, ["a", "b"], range(2, 5), inits=2).collect()
+    assert len(scans) < 4 * at_once
+    assert np.allclose([list(r) for r in wide], [list(r) for r in narrow])
