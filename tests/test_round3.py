@@ -80,3 +80,18 @@ def test_sweep_keeps_its_pool_full(spark, monkeypatch):
     narrow = cl.kmeans_sweep(df, ["a", "b"], range(2, 5), inits=2).collect()
     assert len(scans) < 4 * at_once
     assert np.allclose([list(r) for r in wide], [list(r) for r in narrow])
+
+
+def test_a_line_between_days_ends_in_the_same_bit_as_the_sql(spark):
+    """``v0 + (v1 - v0) * a / b`` from left to right: a value beside a limit such as 50 falls on the same side of it."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for person in range(400):
+        b = int(rng.integers(2, 7))
+        v0, v1 = (round(float(v), 2) for v in rng.uniform(0, 200, 2))
+        days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(b + 1)]
+        rows += [(person, 0, d, v0 if i == 0 else v1 if i == b else None) for i, d in enumerate(days)]
+        want |= {(person, d): v0 + (v1 - v0) * i / b for i, d in enumerate(days) if 0 < i < b}
+    df = spark.createDataFrame(rows, "num_id long, week int, dt date, x double")
+    got = {(r["num_id"], r["dt"]): r["x_int"] for r in tl.interpolate_weekly(df, ["x"], 10.0).collect()}
+    assert {k: got[k] for k in want} == want
