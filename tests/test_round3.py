@@ -4,10 +4,12 @@ import datetime as dt
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from dayspan.operators import clean
 from dayspan.operators import clustering as cl
 from dayspan.operators import distance as di
+from dayspan.operators import models as mo
 from dayspan.operators import timeline as tl
 
 
@@ -95,3 +97,26 @@ def test_a_line_between_days_ends_in_the_same_bit_as_the_sql(spark):
     df = spark.createDataFrame(rows, "num_id long, week int, dt date, x double")
     got = {(r["num_id"], r["dt"]): r["x_int"] for r in tl.interpolate_weekly(df, ["x"], 10.0).collect()}
     assert {k: got[k] for k in want} == want
+
+
+def _panel(spark, n=3000):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 2))
+    return spark.createDataFrame([(i % 300, i // 300, float(a), float(b), float(4 * (a > 0.25) + (b > 0))) for i, (a, b) in enumerate(x)], "num_id long, day int, a double, b double, y double")
+
+
+def test_forests_of_all_late_days_do_not_depend_on_the_partitions(spark):
+    df = _panel(spark)
+    runs = [
+        {(r["num_id"], r["day"]): r["prediction"] for r in mo.walk_forward(d, ["a", "b"], "y", share=0.3, trees=20, depth=4).collect()}
+        for d in (df, df.repartition(5, "a"))
+    ]
+    assert len(runs[0]) == 900 and runs[0].keys() == runs[1].keys()
+    assert max(abs(runs[0][k] - runs[1][k]) for k in runs[0]) < 1e-9
+    truth = {(r["num_id"], r["day"]): r["y"] for r in df.collect()}
+    assert np.mean([(runs[0][k] - truth[k]) ** 2 for k in runs[0]]) < 0.05 * np.var(list(truth.values()))
+
+
+def test_a_day_without_past_has_no_prediction(spark):
+    got = mo.walk_forward(_panel(spark, 600), ["a", "b"], "y", share=1.0, trees=3, depth=2).collect()
+    assert {r["day"] for r in got if r["prediction"] is None} == {0} and len(got) == 600
