@@ -6,7 +6,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from dayspan.operators import clean
+from dayspan.operators import attribution, clean
 from dayspan.operators import clustering as cl
 from dayspan.operators import distance as di
 from dayspan.operators import models as mo
@@ -120,3 +120,14 @@ def test_forests_of_all_late_days_do_not_depend_on_the_partitions(spark):
 def test_a_day_without_past_has_no_prediction(spark):
     got = mo.walk_forward(_panel(spark, 600), ["a", "b"], "y", share=1.0, trees=3, depth=2).collect()
     assert {r["day"] for r in got if r["prediction"] is None} == {0} and len(got) == 600
+
+
+def test_rows_of_one_cell_are_attributed_once(spark):
+    df = _panel(spark).withColumn("id", F.col("num_id") * 100 + F.col("day"))
+    model = mo.forest(trees=4, depth=3).fit(mo.assemble(df, ["a", "b"], ["y"]))
+    rows = attribution.shapley_rows(model, df, ["a", "b"], "id").groupBy("feature").agg(F.avg(F.abs("contribution")).alias("m")).collect()
+    summary = attribution.attribution_summary(model, df, ["a", "b"], "id")
+    got = {r["feature"]: r["mean_abs"] for r in summary.collect()}
+    assert all(abs(got[r["feature"]] - r["m"]) < 1e-9 for r in rows) and len(got) == len(rows) == 2
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("MapInArrow"):]  # the cells are counted before their contributions are
