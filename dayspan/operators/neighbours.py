@@ -24,17 +24,36 @@ LEAST_PIVOTS, MOST_PIVOTS = 8, 512
 
 
 def _to_pivots(rows: DataFrame, key: str, pivots: np.ndarray, extra: str = "") -> DataFrame:
-    """Add ``cell`` (nearest pivot), ``reach`` (distance to it) and ``away`` (distance to all)."""
+    """Add ``cell`` (nearest pivot) and ``reach`` (distance to it)."""
 
     def assign(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = np.stack(pdf["vec"].to_numpy())
-            d = np.concatenate([np.sqrt(((x[i : i + 128, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)) for i in range(0, len(x), 128)])
-            yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), reach=d.min(axis=1), away=list(d))
+            d = _distances(np.stack(pdf["vec"].to_numpy()), pivots)
+            yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), reach=d.min(axis=1))
 
-    return rows.mapInPandas(assign, f"id long, vec array<double>{extra}, cell int, reach double, away array<double>")
+    return rows.mapInPandas(assign, f"id long, vec array<double>{extra}, cell int, reach double")
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.sqrt(((x[i : i + 128, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)) for i in range(0, len(x), 128)])
+
+
+def _wanted(rows: DataFrame, pivots: np.ndarray, limit: np.ndarray) -> DataFrame:
+    """(id, vec, label, wanted): the cells whose limit the row's distance to their pivot keeps.
+
+    The distances are computed again: a row of 512 of them is eight times its vector, too much to write.
+    """
+
+    def choose(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            near = _distances(np.stack(pdf["vec"].to_numpy()), pivots) <= limit * (1 + 1e-9)
+            yield pdf.assign(wanted=[np.flatnonzero(r).astype("int32") for r in near])
+
+    return rows.select("id", "vec", "label").mapInPandas(choose, "id long, vec array<double>, label long, wanted array<int>")
 
 
 def nearest(train: DataFrame, test: DataFrame, key: str, cols: Sequence[str], label: str, k: int = 5, pivots: int | None = None) -> DataFrame:
@@ -67,9 +86,8 @@ def nearest(train: DataFrame, test: DataFrame, key: str, cols: Sequence[str], la
         radius[cell] = (bounds[k - 1] if len(bounds) >= k else float("inf")) + u
 
     # A training row at distance a from pivot i can only matter to cell i if a <= radius(i).
-    limit = F.array(*[F.lit(float(radius.get(i, -1.0))) for i in range(len(marks))])
-    wanted = F.filter(F.sequence(F.lit(0), F.lit(len(marks) - 1)), lambda i: F.get("away", i) <= F.get(limit, i) * (1 + 1e-9))
-    sent = tr.select("id", "vec", "label", F.explode(wanted).alias("cell"))
+    limit = np.array([radius.get(i, -1.0) for i in range(len(marks))])
+    sent = _wanted(tr, marks, limit).select("id", "vec", "label", F.explode("wanted").alias("cell"))
     n_tr = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_te = {r["cell"]: r["n"] for r in te.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 

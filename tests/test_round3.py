@@ -10,6 +10,7 @@ from dayspan.operators import attribution, clean
 from dayspan.operators import clustering as cl
 from dayspan.operators import distance as di
 from dayspan.operators import models as mo
+from dayspan.operators import neighbours as ne
 from dayspan.operators import timeline as tl
 
 
@@ -131,3 +132,16 @@ def test_rows_of_one_cell_are_attributed_once(spark):
     assert all(abs(got[r["feature"]] - r["m"]) < 1e-9 for r in rows) and len(got) == len(rows) == 2
     plan = summary._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("MapInArrow"):]  # the cells are counted before their contributions are
+
+
+def test_no_row_is_written_with_its_distances_to_all_pivots(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    rows = spark.createDataFrame([(i, [float(v) for v in r], i % 4) for i, r in enumerate(x)], "id long, vec array<double>, label long")
+    marks = x[:20]
+    placed = ne._to_pivots(rows, "id", marks, ", label long")
+    assert placed.columns == ["id", "vec", "label", "cell", "reach"]
+    limit = rng.uniform(0.5, 2, 20)
+    d = np.sqrt(((x[:, None] - marks[None]) ** 2).sum(2))
+    got = {r["id"]: r["wanted"] for r in ne._wanted(placed, marks, limit).collect()}
+    assert got == {i: list(np.flatnonzero(d[i] <= limit)) for i in range(400)}
