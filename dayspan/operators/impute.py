@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from dayspan.functions.columns import stable_hash
 from dayspan.functions.ordered import number_rows
 from dayspan.operators.clean import replace_columns
+from dayspan.operators.forests import fit_forests, forest_prediction
 from dayspan.operators.inference import ks_two_sample
 from dayspan.session import cut_lineage
 
 HASH_RANGE = (0.0, 4294967296.0)
+# Tables up to this size take MLlib's forests, whose few jobs cost less; in larger ones the trees of a column grow together.
+SMALL_ROWS = 50_000
 
 
 def _hide(df: DataFrame, key: str, hidden: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -121,9 +124,11 @@ def forest_impute(
     Gaps start at the column mean. Each round refits every column on the others
     (and on ``helpers``, which must be complete) from its known rows. With
     ``person`` the person's own column means join the predictors, so one pooled
-    model replaces a model per person.
+    model replaces a model per person. Over ``SMALL_ROWS`` rows the trees of a column take one scan
+    a level (``fit_forests``), with draws from a hash of the row key.
     """
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    means = df.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).first()
+    n = means["_n"]
     cols = [c for c in cols if means[c] is not None]
     extra = list(helpers)
     state = df.select(
@@ -137,15 +142,21 @@ def forest_impute(
     for _ in range(rounds):
         for c in cols:
             inputs = [x for x in cols if x != c] + extra
-            features = VectorAssembler(inputCols=inputs, outputCol="_x")
+            gap = F.col(f"_gap_{c}")
+            if n > SMALL_ROWS:
+                x = F.array(*[F.col(i).cast("double") for i in inputs])
+                known = state.filter(~gap).select(x.alias("x"), F.col(c).cast("double").alias("y"), F.xxhash64(key).alias("h"), F.lit(0).alias("first"))
+                model = fit_forests(known, 1, trees, depth, seed)
+                guess = forest_prediction(state, model, x, F.when(gap, 0).otherwise(-1))
+                state = replace_columns(state, {c: F.when(gap, guess).otherwise(F.col(c))})
+                continue
+            ready = VectorAssembler(inputCols=inputs, outputCol="_x").transform(state)
             forest = RandomForestRegressor(
                 featuresCol="_x", labelCol=c, predictionCol="_guess", numTrees=trees, maxDepth=depth, seed=seed,
                 featureSubsetStrategy="all",
             )
-            ready = features.transform(state)
-            model = forest.fit(ready.filter(~F.col(f"_gap_{c}")))
-            guess = model.transform(ready)
-            state = guess.select(*[F.when(F.col(f"_gap_{c}"), F.col("_guess")).otherwise(F.col(c)).alias(c) if x == c else F.col(x) for x in state.columns])
+            guess = forest.fit(ready.filter(~gap)).transform(ready)
+            state = guess.select(*[F.when(gap, F.col("_guess")).otherwise(F.col(c)).alias(c) if x == c else F.col(x) for x in state.columns])
         state = cut_lineage(state)
     filled = state.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
     joined = df.join(filled, key)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dayspan.operators import attribution, clean
 from dayspan.operators import clustering as cl
 from dayspan.operators import distance as di
+from dayspan.operators import impute
 from dayspan.operators import models as mo
 from dayspan.operators import neighbours as ne
 from dayspan.operators import timeline as tl
@@ -145,3 +146,21 @@ def test_no_row_is_written_with_its_distances_to_all_pivots(spark):
     d = np.sqrt(((x[:, None] - marks[None]) ** 2).sum(2))
     got = {r["id"]: r["wanted"] for r in ne._wanted(placed, marks, limit).collect()}
     assert got == {i: list(np.flatnonzero(d[i] <= limit)) for i in range(400)}
+
+
+def test_columns_of_a_large_table_are_imputed_by_joint_forests(spark, monkeypatch):
+    """No MLlib fit on however few partitions; guesses do not depend on the partitions."""
+    monkeypatch.setattr(impute, "SMALL_ROWS", 100)
+    monkeypatch.setattr(impute, "RandomForestRegressor", None)
+    rng = np.random.default_rng(5)
+    a = rng.uniform(0, 10, 800)
+    full = np.column_stack([a, 3 * a + rng.uniform(0, 1, 800)])
+    lost = rng.random(800)
+    rows = [(i, None if u < 0.1 else float(x), None if 0.1 <= u < 0.2 else float(y)) for i, ((x, y), u) in enumerate(zip(full, lost))]
+    df = spark.createDataFrame(rows, "cell long, a double, b double")
+    runs = [{r["cell"]: (r["a"], r["b"]) for r in impute.forest_impute(d, "cell", ["a", "b"], rounds=1, trees=10).collect()} for d in (df.coalesce(1), df.repartition(7, "a"))]
+    got, again = (np.array([run[i] for i in range(800)]) for run in runs)
+    assert np.abs(got - again).max() < 1e-9
+    for c, hidden in enumerate((lost < 0.1, (0.1 <= lost) & (lost < 0.2))):
+        assert (got[~hidden, c] == full[~hidden, c]).all()
+        assert ((got[hidden, c] - full[hidden, c]) ** 2).mean() < 0.05 * full[:, c].var()
