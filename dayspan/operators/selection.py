@@ -43,8 +43,8 @@ def collinear_drops(df: DataFrame, target: str, cols: Sequence[str], threshold:
     return judged.select(loser.alias("variable")).distinct()
 
 
-# Rows a worker looks at together.
-PART_ROWS = 256
+# Rows a worker looks at together: in the passes before and after the steps, and in a step, one bootstrap at a time.
+PART_ROWS, STEP_ROWS = 256, 1024
 
 
 def poisson_cuts(rate: float, bits: int = 30) -> np.ndarray:
@@ -77,10 +77,32 @@ class Draws:
         return w, (_mixed(h + np.uint64(1)) % np.uint64(self.folds)).astype(np.int64)
 
 
-def _columns(w: np.ndarray, fold: np.ndarray, folds: int, penalties: int) -> np.ndarray:
-    """Rows x fits: weight of a row in the fit of each bootstrap, left-out fold (the last: none) and penalty."""
-    parts = np.stack([w * (fold != f) for f in range(folds)] + [w], 2)
-    return np.repeat(parts, penalties, 2).reshape(len(w), -1)
+def _columns(w: np.ndarray, fold: np.ndarray, folds: int) -> np.ndarray:
+    """Rows x (bootstrap, left-out fold; the last: none): weight of a row in the fits of one penalty."""
+    return np.stack([w * (fold != f) for f in range(folds)] + [w], 2).reshape(len(w), -1)
+
+
+def _slopes(xs: np.ndarray, ys: np.ndarray, w: np.ndarray, fold: np.ndarray, folds: int, at: np.ndarray) -> np.ndarray:
+    """Sums over rows of the logistic gradients of all fits, columns x (bootstrap, penalty, left-out fold).
+
+    A bootstrap looks only at the rows it has drawn, about half of them, and its numbers stay in the cache.
+    """
+    out, wide = np.zeros_like(at), at.shape[1] // w.shape[1]
+    left_out = np.arange(folds + 1)[:, None]  # the last number is no fold
+    for s, (often, part) in enumerate(zip(np.ascontiguousarray(w.T), np.ascontiguousarray(fold.T))):
+        drawn, own = np.flatnonzero(often), slice(s * wide, (s + 1) * wide)
+        x = xs[drawn]
+        m = at[:, own].T @ x.T
+        np.clip(m, -40, 40, out=m)
+        np.negative(m, out=m)
+        np.exp(m, out=m)
+        m += 1
+        np.divide(1, m, out=m)
+        m -= ys[drawn]
+        each = m.reshape(wide // (folds + 1), folds + 1, len(drawn))
+        each *= often[drawn] * (part[drawn] != left_out)
+        out[:, own] = (m @ x).T
+    return out
 
 
 def stability_select(
@@ -106,36 +128,36 @@ def stability_select(
     Columns are standardised by their spread over all rows; coefficients are in the columns' units.
     """
     rows = df.na.drop("any", subset=[*cols, label])
-    spread = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    spread = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     p, n_pen = len(cols), len(penalties)
     if spread["m0"] is None:
         return df.sparkSession.createDataFrame([(c, 0.0, 0) for c in cols], "variable string, mean_coef double, selected int")
     sd = np.array([spread[f"s{i}"] for i in range(p)])
     unit = np.where(sd > 0, sd, 1.0)
     x = F.array(*[(F.col(c).cast("double") - F.lit(spread[f"m{i}"])) / F.lit(float(unit[i])) for i, c in enumerate(cols)], F.lit(1.0))
-    base = cut_lineage(rows.select(x.alias("x"), F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("h")))
+    # The rows are few bytes and much work: every task gets its share, but no fewer rows than a step looks at together.
+    tasks = max(1, min(2 * df.sparkSession.sparkContext.defaultParallelism, spread["n"] // STEP_ROWS))
+    base = cut_lineage(rows.select(x.alias("x"), F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("h")).repartition(tasks, "h"))
     draws = Draws(samples, folds, rate)
-    fits = samples * (folds + 1) * n_pen
-    strength = np.tile(np.array(penalties, float), samples * (folds + 1))
+    fits = samples * (folds + 1) * n_pen  # by bootstrap, penalty and left-out fold
+    strength = np.tile(np.repeat(np.array(penalties, float), folds + 1), samples)
 
     def sizes(xs, ys, keys):
-        w = _columns(*draws(keys), folds, n_pen)
+        w = _columns(*draws(keys), folds)
         return np.concatenate([w.sum(0), (xs * xs).sum(1) @ w])
 
-    got = summed(base, sizes, 2 * fits, PART_ROWS)
-    total = np.maximum(got[:fits], 1e-12)
-    step = 4.0 * total / np.maximum(got[fits:], 1e-12)  # a quarter of the trace bounds the curvature
+    got = summed(base, sizes, 2 * fits // n_pen, PART_ROWS).reshape(2, samples, 1, folds + 1).repeat(n_pen, 2).reshape(2, fits)
+    total = np.maximum(got[0], 1e-12)
+    step = 4.0 * total / np.maximum(got[1], 1e-12)  # a quarter of the trace bounds the curvature
     beta = np.zeros((p + 1, fits))
     ahead, t = beta.copy(), 1.0
     for _ in range(max_iter):
         at = ahead
 
         def gradient(xs, ys, keys, at=at):
-            w = _columns(*draws(keys), folds, n_pen)
-            w *= 1 / (1 + np.exp(-np.clip(xs @ at, -40, 40))) - ys[:, None]
-            return (xs.T @ w).ravel()
+            return _slopes(xs, ys, *draws(keys), folds, at).ravel()
 
-        slope = summed(base, gradient, (p + 1) * fits, PART_ROWS).reshape(p + 1, fits) / total
+        slope = summed(base, gradient, (p + 1) * fits, STEP_ROWS).reshape(p + 1, fits) / total
         new = at - step * slope
         shrink = step * strength
         new[:p] = np.sign(new[:p]) * np.maximum(np.abs(new[:p]) - shrink, 0.0)
@@ -145,11 +167,11 @@ def stability_select(
         moved, beta, t = float(np.abs(new - beta).max()), new, nxt
         if moved < tol:
             break
-    tested = np.arange(fits).reshape(samples, folds + 1, n_pen)
+    tested = np.arange(fits).reshape(samples, n_pen, folds + 1).transpose(0, 2, 1)
 
     def hits(xs, ys, keys):
         w, fold = draws(keys)
-        right = ((xs @ beta > 0) == (ys[:, None] > 0.5)).reshape(len(ys), samples, folds + 1, n_pen)
+        right = ((xs @ beta > 0) == (ys[:, None] > 0.5)).reshape(len(ys), samples, n_pen, folds + 1).transpose(0, 1, 3, 2)
         out, seen = np.zeros((samples, folds, n_pen)), np.zeros((samples, folds))
         for f in range(folds):
             here = w * (fold == f)

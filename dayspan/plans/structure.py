@@ -12,6 +12,7 @@ from dayspan.operators import correlation as co
 from dayspan.operators import reduction, selection
 from dayspan.plans import inputs as inp
 from dayspan.plans.base import query, r6
+from dayspan.session import cut_lineage
 
 _PAIRS = list(combinations(inp.FEATURES, 2))
 
@@ -132,7 +133,8 @@ def stability_select(spark, sf):
     from dayspan.operators.transform import zscore
 
     cols = ["n_chars", "n_words", "n_lines", "toxic"]
-    xy = zscore(d.join(lab, "doc_id").select("doc_id", "quality", *[F.col(c).cast("double").alias(c) for c in cols]), cols)
+    xy = cut_lineage(d.join(lab, "doc_id").select("doc_id", "quality", *[F.col(c).cast("double").alias(c) for c in cols]))  # the texts are read once
+    xy = zscore(xy, cols)
     return selection.stability_select(xy, "quality", cols, ["doc_id"])
 
 

@@ -12,6 +12,7 @@ from dayspan.operators import distance as di
 from dayspan.operators import impute
 from dayspan.operators import models as mo
 from dayspan.operators import neighbours as ne
+from dayspan.operators import selection
 from dayspan.operators import timeline as tl
 
 
@@ -164,3 +165,19 @@ def test_columns_of_a_large_table_are_imputed_by_joint_forests(spark, monkeypatc
     for c, hidden in enumerate((lost < 0.1, (0.1 <= lost) & (lost < 0.2))):
         assert (got[~hidden, c] == full[~hidden, c]).all()
         assert ((got[hidden, c] - full[hidden, c]) ** 2).mean() < 0.05 * full[:, c].var()
+
+
+def test_a_bootstrap_looks_only_at_the_rows_it_has_drawn(monkeypatch):
+    """Gradients of all fits equal those over all rows; the logistic function is taken once per drawn row and fit."""
+    rng = np.random.default_rng(9)
+    n, samples, folds, penalties = 300, 7, 3, 2
+    xs, ys = rng.normal(size=(n, 4)), (rng.random(n) > 0.5) * 1.0
+    at = rng.normal(size=(4, samples * penalties * (folds + 1)))
+    w, fold = selection.Draws(samples, folds, 0.7)(rng.integers(-(2**62), 2**62, n))
+    w[:, 2] = 0  # nothing drawn
+    every = np.stack([w * (fold != f) for f in range(folds)] + [w], 2)[:, :, None].repeat(penalties, 2).reshape(n, -1)
+    want = xs.T @ (every * (1 / (1 + np.exp(-(xs @ at))) - ys[:, None]))
+    taken, plain = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda a, **k: taken.append(a.size) or plain(a, **k))
+    assert np.allclose(selection._slopes(xs, ys, w, fold, folds, at), want, atol=1e-9)
+    assert sum(taken) == (w > 0).sum() * penalties * (folds + 1) < 0.6 * n * at.shape[1]
