@@ -2,18 +2,22 @@
 
 import datetime as dt
 import math
+import threading
 
 import numpy as np
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from dayspan.operators import attribution, clean
 from dayspan.operators import clustering as cl
 from dayspan.operators import distance as di
+from dayspan.operators import evaluation as ev
 from dayspan.operators import impute
 from dayspan.operators import models as mo
 from dayspan.operators import neighbours as ne
 from dayspan.operators import selection
 from dayspan.operators import timeline as tl
+from dayspan.plans import modelling
 
 
 def test_a_mean_of_a_day_is_added_in_time_order(spark):
@@ -181,3 +185,56 @@ def test_a_bootstrap_looks_only_at_the_rows_it_has_drawn(monkeypatch):
     monkeypatch.setattr(np, "exp", lambda a, **k: taken.append(a.size) or plain(a, **k))
     assert np.allclose(selection._slopes(xs, ys, w, fold, folds, at), want, atol=1e-9)
     assert sum(taken) == (w > 0).sum() * penalties * (folds + 1) < 0.6 * n * at.shape[1]
+
+
+def _split_table(spark, n=400):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, 2))
+    rows = [(float(a), float(b), float(a + rng.normal() / 2 > 0), "test" if i % 5 == 0 else "train", i % 2) for i, (a, b) in enumerate(x)]
+    return mo.assemble(spark.createDataFrame(rows, "a double, b double, y double, split string, fold int").coalesce(2), ["a", "b"], ["y", "split", "fold"])
+
+
+def test_compared_models_score_as_if_fitted_one_by_one(spark):
+    rows = _split_table(spark).persist()
+    models = mo.classifiers(iterations=5, trees=4)
+    got = {(r["model"], r["fold"], r["metric"]): r["score"] for r in mo.compare({"d": rows}, models, 2, classify=True).collect()}
+    assert len(got) == 2 * 3 * len(models)
+    train = rows.filter("split = 'train'")
+    for name, est in models.items():
+        for f, fit_on, test in ((0, train.filter("fold != 0"), train.filter("fold = 0")), (-1, train, rows.filter("split != 'train'"))):
+            scored = mo.positive_probability(est.fit(fit_on), test).select("y", "prediction", "probability").toPandas()
+            up, down = (scored.probability[scored.y == c].to_numpy() for c in (1, 0))
+            auc = ((up[:, None] > down).sum() + (up[:, None] == down).sum() / 2) / (len(up) * len(down))
+            assert abs(got[name, f, "accuracy"] - (scored.y == scored.prediction).mean()) < 1e-12 and abs(got[name, f, "auc"] - auc) < 1e-12
+
+
+def test_fits_of_a_comparison_run_at_a_time(spark):
+    both = threading.Barrier(2)
+
+    class Meeting(LinearRegression):
+        def _fit(self, dataset):
+            both.wait(60)  # breaks if no second fit runs meanwhile
+            return super()._fit(dataset)
+
+    assert mo.compare({"d": _split_table(spark)}, {"m": Meeting(labelCol="y")}, 1).count() == 6
+
+
+def test_predictions_are_evaluated_once_for_all_metrics(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(p):
+        seen.add(1)
+        return p
+
+    given = [(1, 1.0, 1.0, 0.9), (1, 0.0, 0.0, 0.2), (1, 0.0, 1.0, 0.9), (1, 1.0, 0.0, None), (1, 1.0, None, 0.4), (2, 1.0, 1.0, 0.5)]
+    df = spark.createDataFrame(given, "g int, y double, prediction double, p double").withColumn("probability", F.udf(noted, "double")("p")).drop("p")
+    got = {r["g"]: r for r in ev.classification_metrics(df, ["g"]).collect()}
+    assert seen.value == len(given)
+    assert (got[1]["n"], got[1]["accuracy"], got[1]["auc"]) == (5, 0.5, 0.625) and abs(got[1]["mean_probability"] - 0.6) < 1e-12
+    assert (got[2]["n"], got[2]["accuracy"], got[2]["auc"], got[2]["mean_probability"]) == (1, 1.0, None, 0.5)
+
+
+def test_rows_of_a_comparison_are_spread_evenly(spark, sf):
+    rows = modelling.split_rows(spark, sf, "high", grouped=False, folds=3)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    assert len(sizes) == 2 * spark.sparkContext.defaultParallelism and max(sizes) < 2 * sum(sizes) / len(sizes)
