@@ -238,3 +238,21 @@ def test_rows_of_a_comparison_are_spread_evenly(spark, sf):
     rows = modelling.split_rows(spark, sf, "high", grouped=False, folds=3)
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("at")).count().collect()]
     assert len(sizes) == 2 * spark.sparkContext.defaultParallelism and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_a_comparison_computes_its_panel_once(spark, sf, monkeypatch):
+    """Both draws, the join and both sets of columns read one evaluation of the panel."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(v):
+        seen.add(1)
+        return v
+
+    rng = np.random.default_rng(6)
+    days = [(p, dt.date(2024, 1, 1 + d), p * 100000 + d, *map(float, rng.uniform(0, 100, 5))) for p in range(30) for d in range(6)]
+    plain = spark.createDataFrame(days, "num_id long, dt date, cell_row long, view double, click double, signup double, error double, value double")
+    panel = plain.withColumn("purchase", F.udf(noted, "double").asNondeterministic()("value")).drop("value")
+    monkeypatch.setattr(modelling, "known_panel", lambda *a: panel)
+    monkeypatch.setattr(modelling, "_small_grid", lambda names: {"linear": mo.regressors()["linear"]})
+    out = modelling.compare_regressors(spark, sf)
+    assert out.count() == 2 * 4 * 3 and seen.value == len(days)
