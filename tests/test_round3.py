@@ -256,3 +256,29 @@ def test_a_comparison_computes_its_panel_once(spark, sf, monkeypatch):
     monkeypatch.setattr(modelling, "_small_grid", lambda names: {"linear": mo.regressors()["linear"]})
     out = modelling.compare_regressors(spark, sf)
     assert out.count() == 2 * 4 * 3 and seen.value == len(days)
+
+
+def test_vectors_are_placed_once_and_in_many_tasks(spark, monkeypatch):
+    seen, cuts, plain = spark.sparkContext.accumulator(0), [], di.cut_lineage
+    monkeypatch.setattr(di, "cut_lineage", lambda d: cuts.append(plain(d)) or cuts[-1])
+
+    def noted(v):
+        seen.add(1)
+        return v
+
+    rows = [(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(np.random.default_rng(4).poisson(5, (300, 3)))]
+    df = spark.createDataFrame(rows, "id long, v double, b double, c double").select("id", F.udf(noted, "double").asNondeterministic()("v").alias("a"), "b", "c")
+    assert di.landmark_mds(df, "id", ["a", "b", "c"], landmarks=20).count() == 300 and seen.value == 300
+    placed = next(d for d in cuts if d.columns == ["id", "y1", "y2"])
+    assert placed.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_placement_is_the_mean_of_the_moves_to_all_landmarks():
+    rng = np.random.default_rng(11)
+    coords, target = rng.normal(size=(9, 2)), rng.uniform(0.1, 3, (40, 9))
+    x = coords[target.argmin(axis=1)] + 1e-6
+    for _ in range(5):
+        gap = x[:, None, :] - coords[None, :, :]
+        now = np.maximum(np.sqrt((gap**2).sum(axis=2)), 1e-12)
+        x = (coords[None, :, :] + gap * (target / now)[:, :, None]).mean(axis=1)
+    assert np.abs(di._placed(target, coords, 5) - x).max() < 1e-9
