@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dayspan.operators import clustering as cl
 from dayspan.operators import distance as di
+from dayspan.operators import neighbours as nb
 
 
 def _vectors(spark, n=400, wide=3):
@@ -43,3 +45,43 @@ def test_persons_with_equal_vectors_are_pairs_too(spark, monkeypatch, metric, lo
     got = di.person_pairs(df, "id", ["a", "b", "c"], 1.5, metric).collect()
     assert len(got) == len(want) and 0.0 in want.values()
     assert all(abs(r["d"] - want[r["id_a"], r["id_b"]]) < 1e-9 for r in got)
+
+
+def test_neighbours_are_written_once_for_each_group(spark, monkeypatch):
+    """A training row near to many cells goes to few groups; keys may repeat, labels may be null."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6))
+    x[100:110] = x[0]
+    ids = [int(i) for i in range(300)]
+    ids[7] = 3
+    rows = [(i, *map(float, r), None if n % 17 == 0 else n % 3) for n, (i, r) in enumerate(zip(ids, x))]
+    cols = list("pqrstu")
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols) + ", label long").withColumn("n", F.monotonically_increasing_id())
+    train, test = df.filter("id % 5 != 0"), df.filter("id % 5 = 0")
+    sent, plain = [], nb._wanted
+    monkeypatch.setattr(nb, "_wanted", lambda *a: sent.append(plain(*a)) or sent[-1])
+    monkeypatch.setattr(nb, "BATCH_ROWS", 16)
+    monkeypatch.setattr(nb, "TILE_ROWS", 7)
+    got = nb.nearest(train, test, "id", cols, "label", 4).collect()
+    tr = [r for r in rows if r[0] % 5]
+    y, key = np.array([r[1:7] for r in tr]), np.array([r[0] for r in tr])
+    for r in (r for r in rows if r[0] % 5 == 0):
+        d = np.sqrt(((y - np.array(r[1:7])) ** 2).sum(axis=1))
+        want = np.lexsort((key, d))[:4]
+        mine = sorted((g["d"], g["train_id"], g["label"]) for g in got if g["id"] == r[0])
+        assert [m[1] for m in mine] == key[want].tolist() and np.allclose([m[0] for m in mine], d[want])
+        assert all(m[2] in {t[7] for t in tr if t[0] == m[1]} for m in mine)
+    assert sent[0].agg(F.sum(F.size("wanted"))).first()[0] <= spark.sparkContext.defaultParallelism * len(tr) / 2
+
+
+def test_cells_form_few_groups(monkeypatch):
+    pivots = np.random.default_rng(1).normal(size=(40, 5))
+    first, lots, groups, slices = nb._groups(pivots, {c: 100 for c in range(40)}, 20_000, 8, 5)
+    assert groups * slices >= 8 and groups <= 4 and set(lots) == {1}
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 250)
+    first, lots, groups, slices = nb._groups(pivots, {0: 1000, **{c: 100 for c in range(1, 40)}}, 20_000, 8, 5)
+    held = [0.0] * groups
+    for c in range(40):
+        for g in range(first[c], first[c] + lots[c]):
+            held[g] += (1000 if c == 0 else 100) / lots[c]
+    assert max(held) <= 250 and min(held) > 0
