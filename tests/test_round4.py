@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from dayspan.operators import clustering as cl
 from dayspan.operators import distance as di
+from dayspan.operators import models as mo
 from dayspan.operators import neighbours as nb
+from dayspan.plans import modelling
 
 
 def _vectors(spark, n=400, wide=3):
@@ -85,3 +87,14 @@ def test_cells_form_few_groups(monkeypatch):
         for g in range(first[c], first[c] + lots[c]):
             held[g] += (1000 if c == 0 else 100) / lots[c]
     assert max(held) <= 250 and min(held) > 0
+
+
+def test_comparisons_have_all_rounds_trees_and_folds(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(modelling, "split_rows", lambda *a, **more: more["folds"])
+    monkeypatch.setattr(mo, "compare", lambda data, models, folds, classify=False: seen.append((data, models, folds)))
+    modelling.compare_classifiers(spark, sf)
+    (rows, classifiers, folds), = seen
+    assert rows == {"sensors": 10} and folds == 10
+    assert [classifiers[m].getMaxIter() for m in ("logistic", "linear_svm", "gbt")] == [100] * 3
+    assert classifiers["random_forest"].getNumTrees() == 100
