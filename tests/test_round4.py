@@ -92,9 +92,13 @@ def test_cells_form_few_groups(monkeypatch):
 def test_comparisons_have_all_rounds_trees_and_folds(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(modelling, "split_rows", lambda *a, **more: more["folds"])
+    monkeypatch.setattr(modelling, "split_table", lambda *a: None)
+    monkeypatch.setattr(modelling, "with_vector", lambda *a: None)
     monkeypatch.setattr(mo, "compare", lambda data, models, folds, classify=False: seen.append((data, models, folds)))
     modelling.compare_classifiers(spark, sf)
-    (rows, classifiers, folds), = seen
+    modelling.compare_regressors(spark, sf)
+    (rows, classifiers, folds), (_, regressors, _) = seen
     assert rows == {"sensors": 10} and folds == 10
     assert [classifiers[m].getMaxIter() for m in ("logistic", "linear_svm", "gbt")] == [100] * 3
-    assert classifiers["random_forest"].getNumTrees() == 100
+    assert classifiers["random_forest"].getNumTrees() == regressors["random_forest"].getNumTrees() == 100
+    assert regressors["gbt_gradient"].getMaxIter() == 100
