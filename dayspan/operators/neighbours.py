@@ -44,8 +44,8 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(((x[i : i + 128, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)) for i in range(0, len(x), 128)])
 
 
-def _wanted(rows: DataFrame, pivots: np.ndarray, limit: np.ndarray, member: np.ndarray) -> DataFrame:
-    """(id, vec, label, wanted): the groups with a cell whose limit the row's distance to the cell's pivot keeps.
+def _wanted(rows: DataFrame, pivots: np.ndarray, limit: np.ndarray, member: np.ndarray | None = None) -> DataFrame:
+    """(id, vec, label, wanted): the groups with a cell whose limit the row's distance to the cell's pivot keeps; without ``member`` each cell is a group.
 
     The distances are computed again: a row of 512 of them is eight times its vector, too much to write.
     """
@@ -55,7 +55,9 @@ def _wanted(rows: DataFrame, pivots: np.ndarray, limit: np.ndarray, member: np.n
             if pdf.empty:
                 continue
             near = _distances(np.stack(pdf["vec"].to_numpy()), pivots) <= limit * (1 + 1e-9)
-            yield pdf.assign(wanted=[np.flatnonzero(r).astype("int32") for r in near.astype("float32") @ member > 0])
+            if member is not None:
+                near = near.astype("float32") @ member > 0
+            yield pdf.assign(wanted=[np.flatnonzero(r).astype("int32") for r in near])
 
     return rows.select("id", "vec", "label").mapInPandas(choose, "id long, vec array<double>, label long, wanted array<int>")
 
